@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modalith.llm import bpe, digest, mixing
+from modalith.llm import bpe, digest, mixing, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,5 +50,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(_read(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {"op6_mixing": op6_mixing, "op7_digest": op7_digest, "op9_bpe": op9_bpe}
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {"op6_mixing": op6_mixing, "op7_digest": op7_digest, "op9_bpe": op9_bpe, "op10_suffix": op10_suffix}
 ORACLES: dict[str, str] = {}
