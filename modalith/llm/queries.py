@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modalith.llm import bpe, digest, mixing, suffix
+from modalith.llm import bpe, digest, minhash, mixing, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -54,5 +58,5 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op6_mixing": op6_mixing, "op7_digest": op7_digest, "op9_bpe": op9_bpe, "op10_suffix": op10_suffix}
+QUERIES = {"op1_minhash": op1_minhash, "op6_mixing": op6_mixing, "op7_digest": op7_digest, "op9_bpe": op9_bpe, "op10_suffix": op10_suffix}
 ORACLES: dict[str, str] = {}

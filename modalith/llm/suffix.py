@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalith.llm.runtime import materialize
+from modalith.llm.runtime import materialize, numbered
 
 LENGTH = 400
 GRAM = 32
@@ -369,24 +369,11 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, id, text) with doc a key of the row: the id where ids are unique, else a hash of id, text and the
-    place among equal rows."""
-    from pyspark.sql.window import Window
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    twice = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
-    if twice.isEmpty():
-        return rows.select(F.col("id").cast("long").alias("doc"), "id", "text")
-    place = F.row_number().over(Window.partitionBy("id", F.xxhash64("text")).orderBy("text"))
-    return materialize(rows.withColumn("k", place).select(F.xxhash64("id", "text", "k").alias("doc"), "id", "text"))
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row: kept is the text without each byte that a
     repeated string of `length` bytes covers, all its occurrences alike. kept drops what is left of a character
     that a removed run cuts; the digest is of the remaining bytes as they are."""
-    rows = numbered(docs, id_col, text_col)
+    rows, _ = numbered(docs, id_col, text_col)
     spans = covered_intervals(rows.select("doc", "text"), length, gram, most)
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
@@ -419,7 +406,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(repeat, length, doc, start): the maximal repeats of at least `length` bytes with every occurrence, cut to the
     context of the anchor through which they were found (so a longer repeat appears as a chain of overlapping
     ones). A gram's contexts must fit in a task."""
-    rows = numbered(docs, id_col, text_col)
+    rows, _ = numbered(docs, id_col, text_col)
     runs = materialize(anchors(rows.select("doc", "text"), length, gram))
     many = runs.groupBy("key").agg(F.count("*").alias("d")).where("d > 1")
     reps = runs.join(many, "key").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "a", "key")).alias("runs"))
