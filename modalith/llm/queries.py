@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modalith.llm import bpe, digest, minhash, mixing, suffix
+from modalith.llm import bpe, covertree, digest, minhash, mixing, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).na.fill(0.0, ["near_edited"])
 
 
+def op8_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.links(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(_read(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -58,5 +62,5 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op6_mixing": op6_mixing, "op7_digest": op7_digest, "op9_bpe": op9_bpe, "op10_suffix": op10_suffix}
+QUERIES = {"op1_minhash": op1_minhash, "op6_mixing": op6_mixing, "op7_digest": op7_digest, "op8_covertree": op8_covertree, "op9_bpe": op9_bpe, "op10_suffix": op10_suffix}
 ORACLES: dict[str, str] = {}
