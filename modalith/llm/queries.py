@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modalith.llm import bpe, covertree, digest, minhash, mixing, suffix
+from modalith.llm import bpe, covertree, digest, minhash, mixing, quality, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs).drop("text")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -62,5 +67,5 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op6_mixing": op6_mixing, "op7_digest": op7_digest, "op8_covertree": op8_covertree, "op9_bpe": op9_bpe, "op10_suffix": op10_suffix}
+QUERIES = {"op1_minhash": op1_minhash, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op7_digest": op7_digest, "op8_covertree": op8_covertree, "op9_bpe": op9_bpe, "op10_suffix": op10_suffix}
 ORACLES: dict[str, str] = {}
