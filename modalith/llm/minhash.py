@@ -305,3 +305,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = materialize(placed)
     first = placed.groupBy("class").agg(F.min(F.struct("id", "doc")).alias("first"))
     return placed.join(first, "class").select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), (F.col("doc") == F.col("first.doc")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, one of each class. Ids should be unique: rows go by id, so a class whose rows
+    share one id goes or stays as a whole. Rows without an id stay."""
+    near = materialize(near_duplicates(docs, id_col, text_col))
+    stay = near.where("kept").select(F.col(id_col).alias("__stay")).distinct()
+    gone = near.where("not kept").select(F.col(id_col).alias("__gone")).where("__gone is not null")
+    gone = gone.join(stay, gone["__gone"] == stay["__stay"], "left_anti")
+    side = F.broadcast(gone) if fits(gone, BROADCAST_PAIRS) else gone
+    return docs.join(side, docs[id_col] == side["__gone"], "left_anti")

@@ -118,3 +118,19 @@ def mix(
 def in_training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Range sort by position; equal positions by a hash of the id, so that sources alternate."""
     return mixed.orderBy("position", F.xxhash64(id_col), id_col)
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """Rows of docs as often as the mix takes them, in training order: a whole text for each full pass, and for a
+    document that is taken in part its first words so many, joined by spaces. Rows of which nothing is taken go."""
+    rows = docs.withColumn("__size", words(F.col(text_col)))
+    mixed = materialize(mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias("__id"), F.col("taken").alias("__taken"), F.col("position").alias("__position"), (F.col("target") / F.col("source_size")).alias("__passes"), F.col("size").alias("__n")))
+    mixed = mixed.where("__taken > 0").dropDuplicates(["__id"])
+    dealt = rows.join(mixed, rows[id_col] == mixed["__id"]).where(F.col("__size") == F.col("__n"))
+    dealt = dealt.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__taken") / F.col("__size")).cast("long") - 1)))
+    part = F.least(F.col("__size"), F.col("__taken") - F.col("__k") * F.col("__size"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0), 1, part.cast("int")), " ")
+    dealt = dealt.withColumn("__text", F.when(part < F.col("__size"), cut).otherwise(F.col(text_col)))
+    dealt = dealt.withColumn("__at", (F.col("__k") + F.col("__position")) / F.greatest(F.col("__passes"), F.lit(1.0)))
+    out = dealt.orderBy("__at", F.xxhash64(id_col), id_col, "__k")
+    return out.select(*(F.col("__text").alias(c) if c == text_col else F.char_length("__text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else docs[c] for c in docs.columns))

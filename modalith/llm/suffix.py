@@ -425,3 +425,12 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=["repeat", "length", "doc", "start"])
 
     return contexts.repartition("key").sortWithinPartitions("key", "doc", "a").mapInArrow(run, "repeat string, length long, doc long, start long")
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
+    """docs with each repeated passage removed from the text and its number of characters brought up to date."""
+    kept = remove_repeats(docs, id_col, text_col, length).where("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("kept").alias("__kept"))
+    kept = materialize(kept.dropDuplicates(["__id"]))
+    out = docs.join(kept, docs[id_col] == kept["__id"], "left")
+    text = F.coalesce("__kept", F.col(text_col))
+    return out.select(*(text.alias(c) if c == text_col else F.when(F.col("__kept").isNull(), F.col(c)).otherwise(F.char_length("__kept")).cast(docs.schema[c].dataType).alias(c) if c == chars_col else docs[c] for c in docs.columns))
