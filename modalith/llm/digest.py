@@ -120,7 +120,8 @@ def with_next(rows: DataFrame, id_col: str, carry: list[str]) -> DataFrame:
     head = F.when(F.col("__k") == F.lit(span[0]), F.lit(len(bounds))).when(F.col("__b") > 0, F.when(F.element_at(long_array(bounds), F.greatest(F.col("__b"), F.lit(1))) == F.col("__k"), F.col("__b") - 1)) if bounds else F.when(F.col("__k") == F.lit(span[0]), F.lit(0))
     own = F.struct(F.col("__b").alias("b"), F.lit(False).alias("lent"))
     dealt = placed.withColumn("__to", F.explode(F.array_compact(F.array(own, F.when(head.isNotNull(), F.struct(head.alias("b"), F.lit(True).alias("lent")))))))
-    order = Window.partitionBy("__to.b").orderBy(F.col("__to.lent"), F.col("__k").desc(), F.xxhash64("text"), F.col("text"))
-    for c in carry:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
-    return dealt.where(~F.col("__to.lent")).drop("__k", "__c", "__b", "__to")
+    dealt = dealt.withColumns({"__b": F.col("__to.b"), "__lent": F.col("__to.lent"), "__h": F.xxhash64("text")})
+    # one window for all carried columns, on plain columns: it needs a single exchange
+    order = Window.partitionBy("__b").orderBy("__lent", F.desc("__k"), "__h", "text")
+    dealt = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carry))
+    return dealt.where("not __lent").drop("__k", "__c", "__b", "__to", "__lent", "__h")
