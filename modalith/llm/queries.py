@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modalith.llm import bpe, covertree, digest, minhash, mixing, quality, suffix
+from modalith.llm import bpe, covertree, digest, htmltext, linkgraph, minhash, mixing, quality, suffix, toolcalls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,19 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_read(spark, sf_dir, "pages"))
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = linkgraph.judge(_read(spark, sf_dir, "pages"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+
+
+def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.conversations(_read(spark, sf_dir, "conversations"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs).drop("text")
@@ -67,5 +80,17 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op7_digest": op7_digest, "op8_covertree": op8_covertree, "op9_bpe": op9_bpe, "op10_suffix": op10_suffix}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_html": op2_html,
+    "op3_urls": op3_urls,
+    "op4_toolcalls": op4_toolcalls,
+    "op5_quality": op5_quality,
+    "op6_mixing": op6_mixing,
+    "op7_digest": op7_digest,
+    "op8_covertree": op8_covertree,
+    "op9_bpe": op9_bpe,
+    "op10_suffix": op10_suffix,
+}
+#: The others hash, tokenise, learn or parse in ways that SQL can't express; tests/llm/ has their brute-force versions.
+ORACLES: dict[str, str] = {"op3_urls": linkgraph.oracle(), "op4_toolcalls": toolcalls.ORACLE}
