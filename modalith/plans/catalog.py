@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from modalith.plans import text_queries  # noqa: F401
+from modalith.plans import observation_queries, text_queries  # noqa: F401
