@@ -53,11 +53,11 @@ def pending_jobs(spark, sf):
     return planned.join(final, ["model", "item_id"], "left_anti").groupBy("model").agg(F.count("*").alias("pending"))
 
 
-@query("run_select", ctes("v_registry") + " SELECT model, dataset, variant, run_id, CAST(started_at AS DATE) AS started_on FROM (SELECT *, row_number() OVER (PARTITION BY model, dataset, variant ORDER BY started_at DESC, run_id DESC) AS n FROM v_registry WHERE status = 'complete' AND observed_records >= expected_records AND run_name NOT LIKE 'smoke-%') WHERE n = 1")
+@query("run_select", ctes("v_registry") + " SELECT model, dataset, variant, run_id, CAST(CAST(started_at AS DATE) AS STRING) AS started_on FROM (SELECT *, row_number() OVER (PARTITION BY model, dataset, variant ORDER BY started_at DESC, run_id DESC) AS n FROM v_registry WHERE status = 'complete' AND observed_records >= expected_records AND run_name NOT LIKE 'smoke-%') WHERE n = 1")
 def run_select(spark, sf):
     good = frame(spark, sf, "v_registry").where((F.col("status") == "complete") & (F.col("observed_records") >= F.col("expected_records")) & ~F.col("run_name").startswith("smoke-"))
     best = observe.latest_of(good.select("model", "dataset", "variant", "started_at", "run_id"), ["model", "dataset", "variant"], ["started_at", "run_id"])
-    return best.select("model", "dataset", "variant", "run_id", F.col("started_at").cast("date").alias("started_on"))
+    return best.select("model", "dataset", "variant", "run_id", F.col("started_at").cast("date").cast("string").alias("started_on"))
 
 
 @query("audit_select", ctes("v_registry") + ", src AS (SELECT model, run_id FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY started_at DESC, run_id DESC) AS n FROM v_registry WHERE o_orderkey % 10 = 0) WHERE n <= 20), aud AS (SELECT *, regexp_extract(notes, 'source_run_id=([^;]*)', 1) AS src_id FROM v_registry WHERE o_orderkey % 10 <> 0) SELECT src.model, src.run_id, count(aud.run_id) AS n_audits, coalesce(max(aud.run_id), '') AS audit_run FROM src LEFT JOIN aud ON aud.src_id = src.run_id GROUP BY 1, 2")
