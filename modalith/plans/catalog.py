@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from modalith.plans import metric_queries, observation_queries, text_queries  # noqa: F401
+from modalith.plans import metric_queries, observation_queries, text_queries, vector_queries  # noqa: F401
