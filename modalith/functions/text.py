@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ordinal strengths of the labels.
@@ -37,11 +37,7 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(x, "[^a-z]+"), lambda w: w != "")
 
 
-def cues(text: Column) -> Column:
-    """array<struct<word, label, negated>> of the modal cues in order.
-
-    A cue is negated by `not` right after it, or by `not` or `never` among the three words before."""
-    w = tokens(text)
+def _marked(w: Column) -> Column:
     label = F.create_map(*[F.lit(x) for kv in CUES.items() for x in kv])
     marked = F.transform(
         w,
@@ -56,28 +52,41 @@ def cues(text: Column) -> Column:
     return F.filter(marked, lambda c: c["label"].isNotNull())
 
 
-def text_modality(text: Column) -> Column:
-    """struct<modality, basis, multi_modal, modals_found, readable>.
+def with_cues(rows: DataFrame, text: str, out: str = "cues") -> DataFrame:
+    """rows with array<struct<word, label, negated>> of the modal cues in order.
+
+    A cue is negated by `not` right after it, or by `not` or `never` among the three words before. The words are a
+    column of their own, since a projection that is used several times is then computed once."""
+    return rows.withColumn("_w", tokens(F.col(text))).withColumn(out, _marked(F.col("_w"))).drop("_w")
+
+
+def with_text_modality(rows: DataFrame, text: str, out: str = "t") -> DataFrame:
+    """rows with struct<modality, basis, multi_modal, modals_found, readable>.
 
     A positive cue beats a weak phrase and a negated cue; a weak phrase beats only `could`, the word of its own
     frame; a trailing weak phrase counts only without any cue."""
-    found = cues(text)
-    low = F.lower(text)
-    weak = low.rlike(WEAK)
-    positive = F.filter(found, lambda c: ~c["negated"] & ~(weak & (c["word"] == "could")))
-    labels = F.transform(positive, lambda c: c["label"])
-    has = lambda k: F.array_contains(labels, k)
-    strongest = F.when(has("mandatory"), "mandatory").when(has("recommended"), "recommended").when(has("optional"), "optional")
-    trailing = (F.size(found) == 0) & low.rlike(TRAILING_WEAK)
-    modality = F.coalesce(strongest, F.when(weak | trailing, "nice_to_have"), F.when(F.size(found) > 0, "negated"), F.when(low.rlike(SYSTEM_VERB), "mandatory"), F.lit("unknown"))
-    basis = F.when(strongest.isNotNull(), "explicit_modal").when(weak | trailing, "weak_phrase").when(F.size(found) > 0, "negated_modal").when(low.rlike(SYSTEM_VERB), "heuristic_system_verb").otherwise("unknown")
-    kinds = F.array_union(F.array_distinct(F.transform(found, lambda c: c["label"])), F.when(weak, F.array(F.lit("nice_to_have"))).otherwise(F.array().cast("array<string>")))
-    kinds = F.filter(kinds, lambda k: ~(weak & (k == "optional") & F.forall(F.filter(found, lambda c: c["label"] == "optional"), lambda c: c["word"] == "could")))
-    return F.struct(modality.alias("modality"), basis.alias("basis"), (F.size(kinds) > 1).alias("multi_modal"), F.transform(found, lambda c: c["word"]).alias("modals_found"), (~modality.isin("unknown", "negated")).alias("readable"))
+    low = F.lower(F.col(text))
+    rows = with_cues(rows, text, "_c").withColumns({"_weak": low.rlike(WEAK), "_tail": low.rlike(TRAILING_WEAK), "_verb": low.rlike(SYSTEM_VERB)})
+    found, weak = F.col("_c"), F.col("_weak")
+    rows = rows.withColumns(
+        {
+            "_labels": F.transform(F.filter(found, lambda c: ~c["negated"] & ~(weak & (c["word"] == "could"))), lambda c: c["label"]),
+            "_kinds": F.array_distinct(F.transform(F.filter(found, lambda c: ~(weak & (c["word"] == "could"))), lambda c: c["label"])),
+            "_soft": weak | ((F.size(found) == 0) & F.col("_tail")),
+        }
+    )
+    has = lambda k: F.array_contains("_labels", k)
+    rows = rows.withColumn("_strong", F.when(has("mandatory"), "mandatory").when(has("recommended"), "recommended").when(has("optional"), "optional"))
+    strong, soft, cued, verb = F.col("_strong"), F.col("_soft"), F.size("_c") > 0, F.col("_verb")
+    rows = rows.withColumn("_m", F.when(strong.isNotNull(), strong).when(soft, "nice_to_have").when(cued, "negated").when(verb, "mandatory").otherwise("unknown"))
+    basis = F.when(strong.isNotNull(), "explicit_modal").when(soft, "weak_phrase").when(cued, "negated_modal").when(verb, "heuristic_system_verb").otherwise("unknown")
+    rows = rows.withColumns({"_b": basis, "_multi": F.size("_kinds") + F.when(weak, 1).otherwise(0) > 1, "_found": F.transform("_c", lambda c: c["word"])})
+    t = F.struct(F.col("_m").alias("modality"), F.col("_b").alias("basis"), F.col("_multi").alias("multi_modal"), F.col("_found").alias("modals_found"), (~F.col("_m").isin("unknown", "negated")).alias("readable"))
+    return rows.withColumn(out, t).drop("_c", "_weak", "_tail", "_verb", "_labels", "_kinds", "_soft", "_strong", "_m", "_b", "_multi", "_found")
 
 
 def drift(t: Column, source_ordinal: Column) -> dict[str, Column]:
-    """Strengthening and weakening of a text against its source: broad, strict, kind, undercommit. t: text_modality()."""
+    """Strengthening and weakening of a text against its source: broad, strict, kind, undercommit. t: the struct of with_text_modality()."""
     gen = ordinal(t["modality"])
     over = F.coalesce(gen > source_ordinal, F.lit(False))
     strict = over & t["basis"].isin("explicit_modal", "weak_phrase")

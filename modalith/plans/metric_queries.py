@@ -296,7 +296,8 @@ GRID = "(VALUES ('mandatory'), ('recommended'), ('optional'), ('nice_to_have'))
 @query("transitions", ANSWERS + f" SELECT s.l AS source_modality, t.l AS text_modality, count(a.kind) AS n, count(*) FILTER ({STRICT}) AS n_strict FROM {GRID} s(l) CROSS JOIN {GRID} t(l) LEFT JOIN a ON a.source_modality = s.l AND a.modality = t.l GROUP BY 1, 2")
 def transitions(spark, sf):
     """A dense matrix: pairs that don't occur are there with zero."""
-    grid = spark.createDataFrame([(a, b) for a in MODALITIES for b in MODALITIES], "source_modality string, text_modality string")
+    labels = F.array(*map(F.lit, MODALITIES))
+    grid = spark.range(1).select(F.explode(labels).alias("source_modality")).withColumn("text_modality", F.explode(labels))
     got = answers(spark, sf).groupBy("source_modality", F.col("t.modality").alias("text_modality")).agg(F.count("*").alias("n"), F.count_if("strict_text_overcommit").alias("n_strict"))
     return grid.join(got, ["source_modality", "text_modality"], "left").select("source_modality", "text_modality", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_strict")))
 

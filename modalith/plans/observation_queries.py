@@ -89,10 +89,10 @@ def arm_select(spark, sf):
     return observe.latest_of(good.select("model", "batch_order", "started_at", "run_id"), ["model", "batch_order"], ["started_at", "run_id"]).select("model", "batch_order", "run_id")
 
 
-@query("source_gaps", ctes("v_registry") + " SELECT DISTINCT r.model, r.dataset, r.variant FROM v_registry r WHERE NOT EXISTS (SELECT 1 FROM v_registry s WHERE s.model = r.model AND s.dataset = r.dataset AND s.variant = r.variant AND s.status = 'complete' AND s.started_at >= DATE '2001-01-01')")
+@query("source_gaps", ctes("v_registry") + " SELECT DISTINCT r.model, r.dataset, r.variant FROM v_registry r WHERE NOT EXISTS (SELECT 1 FROM v_registry s WHERE s.model = r.model AND s.dataset = r.dataset AND s.variant = r.variant AND s.status = 'complete' AND s.started_at >= DATE '2001-10-01')")
 def source_gaps(spark, sf):
     reg, cell = frame(spark, sf, "v_registry"), ["model", "dataset", "variant"]
-    fresh = reg.where((F.col("status") == "complete") & (F.col("started_at") >= F.lit("2001-01-01").cast("timestamp_ntz")))
+    fresh = reg.where((F.col("status") == "complete") & (F.col("started_at") >= F.lit("2001-10-01").cast("timestamp_ntz")))
     return reg.select(*cell).distinct().join(fresh.select(*cell), cell, "left_anti")
 
 

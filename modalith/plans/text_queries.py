@@ -20,10 +20,10 @@ STRICT = "coalesce(gen > ordinal, false) AND basis IN ('explicit_modal', 'weak_p
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v_answers with its text fields. Requirements repeat, so each distinct (kind, text) would do; the classifier is
-    JVM-side and cheap enough to run on rows."""
-    rows = frame(spark, sf_dir, "v_answers").withColumn("t", tx.text_modality(F.col("requirement")))
-    return rows.withColumns(tx.drift(F.col("t"), F.col("ordinal")))
+    """v_answers with its text fields. Requirements repeat, so each distinct text is classified once and joined back."""
+    rows = frame(spark, sf_dir, "v_answers")
+    texts = tx.with_text_modality(rows.select("requirement").distinct(), "requirement")
+    return rows.join(texts, "requirement").withColumns(tx.drift(F.col("t"), F.col("ordinal")))
 
 
 @query("benchmark_items", ctes("v_items") + " SELECT item_id, seed_id, source_modality, source_statement, CAST(gold_yes AS INT) AS gold_yes, CAST(ordinal AS INT) AS ordinal FROM v_items")
@@ -83,8 +83,9 @@ def text_modality(spark, sf):
 
 @query("text_negation", ANSWERS + " SELECT count(*) FILTER (basis = 'negated_modal') AS n_negated, count(*) FILTER (kind = 9) AS n_positive_wins FROM a")
 def text_negation(spark, sf):
-    some = F.exists(tx.cues(F.col("requirement")), lambda c: c["negated"])
+    some = F.exists("cues", lambda c: c["negated"])
     rows = answers(spark, sf)
+    rows = rows.join(tx.with_cues(rows.select("requirement").distinct(), "requirement"), "requirement")
     return rows.agg(F.count_if(F.col("t.basis") == "negated_modal").alias("n_negated"), F.count_if(some & (F.col("t.basis") == "explicit_modal")).alias("n_positive_wins"))
 
 
@@ -106,8 +107,7 @@ def strict_kind(spark, sf):
 
 @query("rule_baseline", ctes("v_items") + " SELECT 'task1' AS task, count(*) AS n, 1.0::DOUBLE AS accuracy FROM v_items UNION ALL SELECT 'task2', count(*), 1.0::DOUBLE FROM v_items")
 def rule_baseline(spark, sf):
-    t = tx.text_modality(F.col("source_statement"))
-    items = benchmark_items(spark, sf).withColumn("m", t["modality"])
+    items = tx.with_text_modality(benchmark_items(spark, sf), "source_statement").withColumn("m", F.col("t.modality"))
     hits = F.array(F.struct(F.lit("task1").alias("task"), ((F.col("m") == "mandatory").cast("int") == F.col("gold_yes")).alias("hit")), F.struct(F.lit("task2").alias("task"), (F.col("m") == F.col("source_modality")).alias("hit")))
     return items.select(F.explode(hits).alias("r")).groupBy("r.task").agg(F.count("*").alias("n"), r9(F.avg(flag(F.col("r.hit")).cast("double"))).alias("accuracy"))
 
