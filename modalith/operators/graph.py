@@ -13,9 +13,9 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Each round takes the least label among neighbours and then the label of that label, so long chains settle in
     logarithmically many rounds. The lineage is cut with checkpoint() in the session's shared folder."""
-    context = edges.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="modalith-"))
+    spark = edges.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="modalith-"))
     both = edges.select("u", "v").union(edges.select("v", "u")).toDF("u", "v").distinct().checkpoint()
     labels = both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(max_rounds):
