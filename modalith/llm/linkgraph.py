@@ -72,11 +72,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     forward = weighed.select("src", "dst", (F.col("n") / F.col("out_n")).alias("w_trust"), F.lit(0.0).alias("w_distrust"))
     back = weighed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("w_trust"), (F.col("n") / F.col("in_n")).alias("w_distrust"))
     flow = materialize(forward.union(back))
-    total = seeds.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    total = seeds.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()  # two numbers
     hosts = seeds.select("host").union(flow.select("dst")).distinct()
-    start = hosts.join(seeds, "host", "left").crossJoin(F.broadcast(total))  # one row of totals
-    share = lambda n, t: F.when(F.col(t) > 0, F.coalesce(n, F.lit(0)) / F.col(t)).otherwise(F.lit(0.0))
-    start = materialize(start.select("host", share("good", "g").alias("s_trust"), share("bad", "b").alias("s_distrust")))
+    share = lambda c, t: F.coalesce(F.col(c), F.lit(0)) / F.lit(float(t)) if t else F.lit(0.0)
+    start = materialize(hosts.join(seeds, "host", "left").select("host", share("good", total.g).alias("s_trust"), share("bad", total.b).alias("s_distrust")))
     rank = start.select("host", F.col("s_trust").alias("trust"), F.col("s_distrust").alias("distrust"))
     for i in range(rounds):
         sent = flow.join(rank, flow["src"] == rank["host"]).groupBy("dst").agg(F.sum(F.col("trust") * F.col("w_trust")).alias("t"), F.sum(F.col("distrust") * F.col("w_distrust")).alias("d"))
@@ -84,10 +83,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         rank = start.join(sent, start["host"] == sent["dst"], "left").select("host", step("s_trust", "t").alias("trust"), step("s_distrust", "d").alias("distrust"))
         if i % 5 == 4:
             rank = materialize(rank)
-    mass = rank.agg(F.sum("trust").alias("mt"), F.sum("distrust").alias("md"))
-    rank = rank.crossJoin(F.broadcast(mass))  # one row of totals
-    scaled = lambda c, m: F.round(F.when(F.col(m) > 0, F.col(c) / F.col(m)).otherwise(F.lit(0.0)), 12)
-    return rank.select("host", scaled("trust", "mt").alias("trust"), scaled("distrust", "md").alias("distrust"))
+    mass = rank.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()  # two numbers
+    scaled = lambda c, m: F.round(F.col(c) / F.lit(m), 12) if m else F.lit(0.0)
+    return rank.select("host", scaled("trust", mass.t).alias("trust"), scaled("distrust", mass.d).alias("distrust"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, ratio: float = RATIO) -> DataFrame:
