@@ -24,6 +24,8 @@ from heapq import heapify, heappop, heappush
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from modalith.llm.runtime import lean, small_batches
+
 #: The white space of the vocabulary's regular expressions (Unicode White_Space).
 _SPACE = "\t-\r \x85\xa0  -     　"
 MEMO = 400_000
@@ -254,6 +256,7 @@ def _coder(path: str, vocab: Vocabulary) -> tuple[Encoder, Decoder]:
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for every row: whole texts, null as empty, nothing dropped."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary))
 
     def run(batches):
@@ -265,13 +268,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.tolist() for i in ids], pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[0].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(lean(run), f"{id_col} {rows.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def roundtrip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, decode it again, and return digests of both: (id, n_tokens, ids_sha256,
     decoded_sha256). The decoder is fed slices of ids, so neither side holds more than one text's ids."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary))
 
     def run(batches):
@@ -298,4 +302,4 @@ def roundtrip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(left), pa.array(right)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), f"{id_col} {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

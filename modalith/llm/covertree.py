@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalith.llm.runtime import connected_components, materialize
+from modalith.llm.runtime import connected_components, lean, materialize, small_batches
 
 THRESHOLD = 0.9
 PIVOTS = 1024
@@ -141,6 +141,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
+    small_batches(vectors.sparkSession)
     rows = materialize(unit_vectors(vectors, id_col, vector_col))
     # equal vectors become one, with their number and least id
     one = materialize(rows.where("ok and id is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
@@ -172,7 +173,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                     cells += [int((np.array([v]) @ sample[len(v)].T).argmax()) if len(v) in sample else -1 for v in part]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.int32())], names=["rep", "cell"])
 
-    cells = one.select("rep", "v").mapInArrow(nearest, "rep long, cell int")
+    cells = one.select("rep", "v").mapInArrow(lean(nearest), "rep long, cell int")
     placed = materialize(one.join(cells, "rep").withColumn("d", shape))
     sizes = placed.groupBy("cell", "d").agg(F.ceil(F.count("*") / (block * 0.9)).cast("int").alias("blocks"))
     placed = placed.join(sizes, ["cell", "d"]).withColumn("block", F.concat_ws("-", "d", "cell", F.pmod("h", F.col("blocks").cast("long"))))
@@ -211,17 +212,19 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                         out[1].append(s["block"])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["left", "right"])
 
-    pairs = materialize(asks.join(book, ["page", "d"]).select("block", "center", "radius", "sums").mapInArrow(within, "left string, right string"))
+    pairs = materialize(asks.join(book, ["page", "d"]).select("block", "center", "radius", "sums").mapInArrow(lean(within), "left string, right string"))
     body = blocks.select("block", "ids", "n", "x", "d")
     first = body.toDF("left", "ids1", "n1", "x1", "d")
     second = body.drop("d").toDF("right", "ids2", "n2", "x2")
-    tasks = pairs.join(first, "left").join(second, "right").repartition("left", "right")
+    # a pair of blocks is a group of its own, so that a worker holds two blocks at a time
+    tasks = pairs.join(first, "left").join(second, "right").groupBy("left", "right")
 
-    def pair_up(batches):
+    def pair_up(table):
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        every: list[tuple] = []
+        for b in table.to_batches():
             for k in range(b.num_rows):
                 row = {c: b.column(c)[k].as_py() for c in b.schema.names}
                 load = lambda i: (np.frombuffer(row[f"ids{i}"], dtype=np.int64), np.frombuffer(row[f"n{i}"], dtype=np.int64), np.frombuffer(row[f"x{i}"], dtype=np.float64).reshape(-1, row["d"]))
@@ -242,10 +245,10 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 tree = build(x)
                 traverse(x, y, tree, tree if same else build(y), threshold, meet, same)
                 out = [(int(v), int(c), None) for ids, more in ([(ids1, more1)] if same else [(ids1, more1), (ids2, more2)]) for v, c in zip(ids, more) if c]
-                out += [(v, 0, u) for v, u in star]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["rep", "more", "with"])
+                every += out + [(v, 0, u) for v, u in star]
+        return pa.table([pa.array([o[i] for o in every], pa.int64()) for i in range(3)], names=["rep", "more", "with"])
 
-    found = materialize(tasks.mapInArrow(pair_up, "rep long, more long, with long"))
+    found = materialize(tasks.applyInArrow(pair_up, "rep long, more long, with long"))
     more = found.groupBy("rep").agg(F.sum("more").alias("more"))
     components = connected_components(found.where("`with` is not null").select(F.col("rep").alias("u"), F.col("with").alias("v")))
     state = one.select("rep", "v", F.col("n") - 1).toDF("rep", "v", "own").join(more, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")

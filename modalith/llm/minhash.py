@@ -10,8 +10,8 @@ which all slots are filled are made, so a document costs about slots * (ln slots
 Equal bands make candidates, and a candidate counts only if the multisets themselves overlap by `threshold` or
 more. With 40 bands of 5 slots a pair at 0.8 is missed with probability 1.3e-7. Classes are the connected components
 of the links. Within a bucket all members are verified against its least; then members that are still in another
-class are compared among each other and with the rest, small buckets pair by pair and large ones by blocks of
-signatures, so that a link between any two members is found, while a group of copies costs a pair a copy.
+class are compared among each other and with the rest, small buckets pair by pair and large ones, joined into families, by
+blocks of signatures, so that a link between any two members is found, while a group of copies costs a pair a copy.
 
 Equal texts are one class from the start and only one of them is compared. Null texts and texts without words are
 each their own class. Rows with equal ids are compared like any others. Empty tables give empty results.
@@ -25,7 +25,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalith.llm.runtime import connected_components, fits, materialize, numbered
+from modalith.llm.runtime import connected_components, fits, lean, materialize, numbered, small_batches
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 5
 #: Pairs are broadcast up to so many rows (some 20 MB), and joined by a shuffle beyond.
@@ -34,8 +34,8 @@ BROADCAST_PAIRS = 300_000
 FAN = 512
 #: In a bucket with at most so many open pairs they are listed; beyond, signatures are compared by blocks.
 LISTED = 4096
-BLOCK = 1024
-_MEMO = 500_000
+BLOCK = 4096
+_MEMO = 200_000
 _words: dict[str, int] = {}
 
 
@@ -172,7 +172,7 @@ def _sign(texts: DataFrame, width: int, bands: int, rows: int, with_signature: b
             at = 0
             while at < len(texts_of):
                 stop, size = at, 0
-                while stop < len(texts_of) and stop - at < 256 and size < 1 << 21:
+                while stop < len(texts_of) and stop - at < 128 and size < 1 << 20:
                     size += len(texts_of[stop] or "")
                     stop += 1
                 docs = [shingle_hashes(t, width) for t in texts_of[at:stop]]
@@ -188,7 +188,7 @@ def _sign(texts: DataFrame, width: int, bands: int, rows: int, with_signature: b
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at = stop
 
-    return texts.select("id", "text").mapInArrow(run, "id long, keys array<long>" + (", sig binary" if with_signature else ""))
+    return texts.select("id", "text").mapInArrow(lean(run), "id long, keys array<long>" + (", sig binary" if with_signature else ""))
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -218,38 +218,53 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, threshold: float)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return rows.repartition("u", "portion").sortWithinPartitions("u", "portion", "kind", "id").mapInArrow(run, "u long, v long")
+    return rows.repartition("u", "portion").sortWithinPartitions("u", "portion", "kind", "id").mapInArrow(lean(run), "u long, v long")
 
 
-def _block_candidates(open_rows: DataFrame, signed: DataFrame, slots: int, least: float) -> DataFrame:
-    """Pairs (u, v) of members of large buckets, at least one of them open, whose signatures agree in a share of at
-    least `least` of the slots. open_rows: (bucket, id, class, rest, n_rest, n_all).
+def _families(opened: DataFrame) -> DataFrame:
+    """(family, id, class, rest, n_rest, n_all) of the members (id, center, class) of large open buckets.
 
-    The open members in blocks meet all members in blocks; a block pair is one group."""
+    Members of such buckets that hang together are one family, so that a text stands in one family however many
+    of its buckets are open. rest: whether it is outside the family's largest class."""
+    families = connected_components(opened.select(F.col("id").alias("u"), F.col("center").alias("v"))).withColumnRenamed("component", "family")
+    members = materialize(opened.select("id", "class").distinct().join(families, "id"))
+    classes = members.groupBy("family", "class").agg(F.count("*").alias("n"))
+    heads = classes.groupBy("family").agg(F.max_by("class", F.struct("n", "class")).alias("head"), F.max("n").alias("n_head"), F.sum("n").alias("n_all"))
+    out = members.join(heads, "family").withColumn("rest", F.col("class") != F.col("head"))
+    return out.select("family", "id", "class", "rest", (F.col("n_all") - F.col("n_head")).alias("n_rest"), "n_all").where("n_rest > 0")
+
+
+def _block_candidates(rows: DataFrame, slots: int, least: float) -> DataFrame:
+    """Pairs (u, v) of members of a family, at least one of them outside its largest class, whose signatures agree in
+    a share of at least `least` of the slots. rows: (family, id, class, rest, n_rest, n_all, sig).
+
+    The rest in blocks meet all members in blocks; a block pair is one group, of bounded size."""
     rest_blocks = F.ceil(F.col("n_rest") / BLOCK).cast("int")
     all_blocks = F.ceil(F.col("n_all") / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
-    rows = open_rows.join(signed.select("id", "sig"), "id")
     left = rows.where("rest").withColumn("i", place(rest_blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), all_blocks - 1))).withColumn("side", F.lit(0))
     right = rows.withColumn("j", place(all_blocks)).withColumn("i", F.explode(F.sequence(F.lit(0), rest_blocks - 1))).withColumn("side", F.lit(1))
-    cols = ["bucket", "i", "j", "side", "id", "class", "sig"]
+    cols = ["family", "i", "j", "side", "id", "class", "sig"]
 
     def compare(table):
         import numpy as np
         import pyarrow as pa
 
-        side, ids, cls = (np.asarray(table.column(c).to_pylist()) for c in ("side", "id", "class"))
+        side, ids, cls = (np.asarray(table.column(c).to_pylist(), dtype=np.int64) for c in ("side", "id", "class"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(len(ids), slots)
-        rest, everyone = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        everyone = np.flatnonzero(side == 1)
+        columns, theirs = np.ascontiguousarray(sig[everyone].T), cls[everyone]
         us, vs = [], []
-        for r in rest:
-            same = (sig[everyone] == sig[r]).sum(axis=1) >= least * slots
-            for k in everyone[same & (cls[everyone] != cls[r])]:
+        for r in np.flatnonzero(side == 0):
+            same = np.zeros(len(everyone), dtype=np.uint16)
+            for k in range(slots):
+                same += columns[k] == sig[r, k]
+            for k in everyone[(same >= least * slots) & (theirs != cls[r])]:
                 us.append(min(ids[r], ids[k]))
                 vs.append(max(ids[r], ids[k]))
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return left.select(cols).union(right.select(cols)).groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+    return left.select(cols).union(right.select(cols)).groupBy("family", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
 def links(texts: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, listed: int = LISTED) -> DataFrame:
@@ -267,7 +282,7 @@ def links(texts: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, ba
     heads = named.where("id = center").select("bucket", F.col("class").alias("head"))
     named = materialize(named.join(heads, "bucket").withColumn("rest", F.col("class") != F.col("head")))
     state = named.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count("*").alias("n_all")).where("n_rest > 0")
-    opened = materialize(named.join(state, "bucket").where("id <> center").select("bucket", "id", "class", "rest", "n_rest", "n_all"))
+    opened = materialize(named.join(state, "bucket").where("id <> center").select("bucket", "center", "id", "class", "rest", "n_rest", "n_all"))
     if opened.isEmpty():
         return classes
     few = opened.where(F.col("n_rest") * F.col("n_all") <= listed)
@@ -275,18 +290,20 @@ def links(texts: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, ba
     more = few.where("rest").join(other, "bucket").where("id <> v and class <> vc").select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
     many = opened.where(F.col("n_rest") * F.col("n_all") > listed)
     if not many.isEmpty():
-        wanted = many.select("id").distinct()
+        family = materialize(_families(many))
+        wanted = family.select("id")
         wanted = texts.join(F.broadcast(wanted) if fits(wanted, BROADCAST_PAIRS) else wanted, "id", "left_semi")
         again = materialize(_sign(wanted, width, bands, rows, with_signature=True))
-        # eight standard deviations of the estimate at the threshold
-        least = threshold - 8 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
-        more = more.union(_block_candidates(many, again, bands * rows, least)).distinct()
+        # five standard deviations of the estimate at the threshold
+        least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
+        more = more.union(_block_candidates(family.join(again.select("id", "sig"), "id"), bands * rows, least)).distinct()
     found = _verified(texts, materialize(more), width, threshold)
     return connected_components(edges.union(found))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, listed: int = LISTED) -> DataFrame:
     """(id, class_id, kept) for every row: the class's least id, and whether the row is the one that stays."""
+    small_batches(docs.sparkSession)
     base, unique = numbered(docs, id_col, text_col)
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\s\p{Z}]")
     keyed = base.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text"), "words": has_words})

@@ -19,7 +19,7 @@ import operator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalith.llm.runtime import materialize
+from modalith.llm.runtime import lean, materialize, small_batches
 
 TRAIN_ROWS = 4000
 DIMS = 1024
@@ -179,7 +179,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                 words.append(n > 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.int32()), pa.array(words)], names=["h", "code", "words"])
 
-    counts = materialize(rows.mapInArrow(vote, "h long, code int, words boolean").where("words").groupBy("code").agg(F.count("*").alias("n")))
+    counts = materialize(rows.mapInArrow(lean(vote), "h long, code int, words boolean").where("words").groupBy("code").agg(F.count("*").alias("n")))
     patterns = {r.code: r.n for r in counts.collect()}
     if len(patterns) < 2:
         return None, dict.fromkeys(patterns, 1.0)
@@ -199,7 +199,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                     xs.append(features(t, found, n).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(xs, pa.binary())], names=["code", "x"])
 
-    sample = rows.where(F.col("h") <= below).mapInArrow(featured, "code int, x binary").toLocalIterator()
+    sample = rows.where(F.col("h") <= below).mapInArrow(lean(featured), "code int, x binary").toLocalIterator()
     codes, xs = [], []
     for r in sample:
         codes.append(r.code)
@@ -236,10 +236,11 @@ def score(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*b.columns, score, pa.array([s >= keep for s in out])], names=[*b.schema.names, "quality_score", "keep"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, quality_score double, keep boolean")
+    return rows.mapInArrow(lean(run), f"{schema}, quality_score double, keep boolean")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, keep: float = KEEP) -> DataFrame:
     """Every row of docs with its score and whether it is kept."""
+    small_batches(docs.sparkSession)
     weights, _ = train(docs, id_col, text_col, train_rows)
     return score(docs, weights, id_col, text_col, keep)

@@ -10,6 +10,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of an Arrow batch that a Python worker holds at once, where the session keeps Spark's default of 10,000.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Documents can be long; a worker should hold a thousand of them at a time, not ten thousand."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def lean(run):
+    """A mapInArrow function that gives its memory back to the system when its partition is done: workers are
+    reused, and what an idle one holds counts against its executor."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

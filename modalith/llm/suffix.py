@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalith.llm.runtime import materialize, numbered
+from modalith.llm.runtime import lean, materialize, numbered, small_batches
 
 LENGTH = 400
 GRAM = 32
@@ -150,7 +150,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for k in range(0, table.num_rows, 50_000):
                 yield table.slice(k, 50_000)
 
-    return docs.mapInArrow(run, ANCHORS)
+    return docs.mapInArrow(lean(run), ANCHORS)
 
 
 def shared_prefix(x: bytes, y: bytes) -> int:
@@ -286,7 +286,7 @@ def _in_arrays(contexts: DataFrame, length: int) -> DataFrame:
         yield flush()
 
     sorted_rows = contexts.repartition("key").sortWithinPartitions("key", "doc", "a")
-    return sorted_rows.mapInArrow(run, "doc long, lo int, hi int")
+    return sorted_rows.mapInArrow(lean(run), "doc long, lo int, hi int")
 
 
 def _split(hot: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -328,6 +328,7 @@ def _split(hot: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame
 def covered_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """(doc, lo, hi): bytes lo to hi of document doc are covered by strings of `length` bytes that also start
     elsewhere. Intervals of a document may overlap. docs: (doc long, text), doc unique."""
+    small_batches(docs.sparkSession)
     runs = materialize(anchors(docs, length, gram))
     alike = materialize(runs.groupBy("key", "cx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "lo", "hi", "a")).alias("one")))
     whole = runs.join(alike.where("n > 1").select("key", "cx"), ["key", "cx"], "left_semi").select("doc", "lo", (F.col("hi") + length).alias("hi"))
@@ -349,7 +350,7 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, m
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part), kinds)], names=["key", "doc", "a", "p", "n", "ctx", "d"])
 
-    contexts = docs.join(reps, "doc").select("doc", "text", "runs").mapInArrow(cut, "key long, doc long, a int, p int, n long, ctx binary, d long")
+    contexts = docs.join(reps, "doc").select("doc", "text", "runs").mapInArrow(lean(cut), "key long, doc long, a int, p int, n long, ctx binary, d long")
     hot_keys = many.where(F.col("d") > most)
     if hot_keys.isEmpty():
         return whole.union(_in_arrays(contexts.drop("d"), length))
@@ -399,7 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kind = rows.schema["id"].dataType.simpleString()
     joined = rows.join(spans, "doc", "left").select("id", "text", "spans")
-    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(lean(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -424,7 +425,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=["repeat", "length", "doc", "start"])
 
-    return contexts.repartition("key").sortWithinPartitions("key", "doc", "a").mapInArrow(run, "repeat string, length long, doc long, start long")
+    return contexts.repartition("key").sortWithinPartitions("key", "doc", "a").mapInArrow(lean(run), "repeat string, length long, doc long, start long")
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
