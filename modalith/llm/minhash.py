@@ -159,8 +159,20 @@ def _shingles(text: str | None, width: int) -> Counter:
     return Counter(shingle_hashes(text, width).tolist())
 
 
+def bag_of(hashes):
+    """A multiset as a sorted array of distinct numbers: the k-th repeat of a shingle is a number of its own, so the
+    overlap of two multisets is the size of a set intersection."""
+    import numpy as np
+
+    h = np.sort(hashes)
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=np.int64)
+    repeat = np.arange(len(h)) - np.repeat(start, np.diff(np.r_[start, len(h)]))
+    with np.errstate(over="ignore"):
+        return np.sort(np.where(repeat > 0, _mix(h + repeat.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), h))
+
+
 def _sign(texts: DataFrame, width: int, bands: int, rows: int, with_signature: bool) -> DataFrame:
-    """(id, keys array<long>[, sig binary]) of each text that has words."""
+    """(id, keys array<long>[, sig binary, bag binary]) of each text that has words."""
     slots = bands * rows
 
     def run(batches):
@@ -184,11 +196,12 @@ def _sign(texts: DataFrame, width: int, bands: int, rows: int, with_signature: b
                 if with_signature:
                     small = sig.astype(np.uint32)
                     cols.append(pa.array([row.tobytes() for row in small], pa.binary()))
-                    names.append("sig")
+                    cols.append(pa.array([bag_of(docs[i]).tobytes() for i in some], pa.binary()))
+                    names += ["sig", "bag"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at = stop
 
-    return texts.select("id", "text").mapInArrow(lean(run), "id long, keys array<long>" + (", sig binary" if with_signature else ""))
+    return texts.select("id", "text").mapInArrow(lean(run), "id long, keys array<long>" + (", sig binary, bag binary" if with_signature else ""))
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -234,17 +247,19 @@ def _families(opened: DataFrame) -> DataFrame:
     return out.select("family", "id", "class", "rest", (F.col("n_all") - F.col("n_head")).alias("n_rest"), "n_all").where("n_rest > 0")
 
 
-def _block_candidates(rows: DataFrame, slots: int, least: float) -> DataFrame:
-    """Pairs (u, v) of members of a family, at least one of them outside its largest class, whose signatures agree in
-    a share of at least `least` of the slots. rows: (family, id, class, rest, n_rest, n_all, sig).
+def _block_links(rows: DataFrame, slots: int, least: float, threshold: float) -> DataFrame:
+    """Links (u, v) between classes of a family, at least one member outside its largest class; enough of them to
+    connect all classes that any link connects. rows: (family, id, class, rest, n_rest, n_all, sig, bag).
 
-    The rest in blocks meet all members in blocks; a block pair is one group, of bounded size."""
+    The rest in blocks meet all members in blocks; a block pair is one group, of bounded size. Within it a pair
+    whose signatures agree in a share of at least `least` is verified by its multisets, the most alike first,
+    unless links found before connect its classes already."""
     rest_blocks = F.ceil(F.col("n_rest") / BLOCK).cast("int")
     all_blocks = F.ceil(F.col("n_all") / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
     left = rows.where("rest").withColumn("i", place(rest_blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), all_blocks - 1))).withColumn("side", F.lit(0))
     right = rows.withColumn("j", place(all_blocks)).withColumn("i", F.explode(F.sequence(F.lit(0), rest_blocks - 1))).withColumn("side", F.lit(1))
-    cols = ["family", "i", "j", "side", "id", "class", "sig"]
+    cols = ["family", "i", "j", "side", "id", "class", "sig", "bag"]
 
     def compare(table):
         import numpy as np
@@ -252,19 +267,37 @@ def _block_candidates(rows: DataFrame, slots: int, least: float) -> DataFrame:
 
         side, ids, cls = (np.asarray(table.column(c).to_pylist(), dtype=np.int64) for c in ("side", "id", "class"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(len(ids), slots)
+        bags = [np.frombuffer(x, dtype=np.uint64) for x in table.column("bag").to_pylist()]
         everyone = np.flatnonzero(side == 1)
         columns, theirs = np.ascontiguousarray(sig[everyone].T), cls[everyone]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                root[c] = c = root.get(root[c], root[c])
+            return c
+
         us, vs = [], []
         for r in np.flatnonzero(side == 0):
             same = np.zeros(len(everyone), dtype=np.uint16)
             for k in range(slots):
                 same += columns[k] == sig[r, k]
-            for k in everyone[(same >= least * slots) & (theirs != cls[r])]:
-                us.append(min(ids[r], ids[k]))
-                vs.append(max(ids[r], ids[k]))
+            close = np.flatnonzero((same >= least * slots) & (theirs != cls[r]))
+            for k in everyone[close[np.argsort(same[close], kind="stable")[::-1]]]:
+                mine, other = find(int(cls[r])), find(int(cls[k]))
+                if mine == other:
+                    continue
+                x, y = bags[r], bags[k]
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= threshold * (len(x) + len(y) - both):
+                    root[max(mine, other)] = min(mine, other)
+                    us.append(ids[r])
+                    vs.append(ids[k])
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return left.select(cols).union(right.select(cols)).groupBy("family", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+    return left.select(cols).union(right.select(cols)).groupBy("family", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def links(texts: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, listed: int = LISTED) -> DataFrame:
@@ -288,6 +321,7 @@ def links(texts: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, ba
     few = opened.where(F.col("n_rest") * F.col("n_all") <= listed)
     other = few.select("bucket", F.col("id").alias("v"), F.col("class").alias("vc"))
     more = few.where("rest").join(other, "bucket").where("id <> v and class <> vc").select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
+    found = edges.union(_verified(texts, materialize(more), width, threshold))
     many = opened.where(F.col("n_rest") * F.col("n_all") > listed)
     if not many.isEmpty():
         family = materialize(_families(many))
@@ -296,9 +330,8 @@ def links(texts: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, ba
         again = materialize(_sign(wanted, width, bands, rows, with_signature=True))
         # five standard deviations of the estimate at the threshold
         least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
-        more = more.union(_block_candidates(family.join(again.select("id", "sig"), "id"), bands * rows, least)).distinct()
-    found = _verified(texts, materialize(more), width, threshold)
-    return connected_components(edges.union(found))
+        found = found.union(_block_links(family.join(again.select("id", "sig", "bag"), "id"), bands * rows, least, threshold))
+    return connected_components(found)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, listed: int = LISTED) -> DataFrame:
