@@ -105,29 +105,23 @@ class Encoder:
 
     def _merge(self, symbols: list[str]) -> list[str]:
         """Rank-ordered merging of a bounded buffer, leftmost first among equal ranks."""
-        ranks = self.v.ranks
         if len(symbols) > 96:
             return self._merge_long(symbols)
-        while len(symbols) > 1:
-            best, where = None, []
-            for i in range(len(symbols) - 1):
-                found = ranks.get((symbols[i], symbols[i + 1]))
-                if found and (best is None or found[0] < best[0]):
-                    best, where = found, [i]
-                elif found and best is not None and found[0] == best[0]:
-                    where.append(i)
-            if best is None:
-                break
-            taken = -1
-            out, last = [], 0
-            for i in where:
-                if i <= taken:
-                    continue
-                out += symbols[last:i]
-                out.append(best[1])
-                taken, last = i + 1, i + 2
-            symbols = out + symbols[last:]
-        return symbols
+        rule = self.v.ranks.get
+        pairs = [rule(p) for p in zip(symbols, symbols[1:])]
+        while True:
+            least, at = None, -1
+            for i, found in enumerate(pairs):
+                if found is not None and (least is None or found[0] < least):
+                    least, at = found[0], i
+            if at < 0:
+                return symbols
+            symbols[at] = pairs[at][1]
+            del symbols[at + 1], pairs[at]
+            if at:
+                pairs[at - 1] = rule((symbols[at - 1], symbols[at]))
+            if at < len(pairs):
+                pairs[at] = rule((symbols[at], symbols[at + 1]))
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
         """The same merges from a heap of (rank, place), for buffers that are too long to scan once a rule."""
@@ -179,10 +173,15 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """Ids of a stretch without white space: normalised, cut into pieces, each piece streamed. No piece, no
         composition and no case mapping reaches across white space, so words are independent."""
-        out = array("I")
+        out, ids = array("I"), self.v.ids
         for piece in self.pieces.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()):
             data = piece.encode("utf-8", "surrogatepass")
             last = len(data) - 1
+            if last < self.v.lookahead:  # the whole piece fits in a buffer
+                symbols = [self.alphabet[b] for b in data]
+                symbols[last] += self.v.suffix
+                out.extend([ids[t] for t in self._merge(symbols) if t in ids])
+                continue
             out.extend(self.stream(self.alphabet[b] + (self.v.suffix if i == last else "") for i, b in enumerate(data)))
         return out.tobytes()
 
