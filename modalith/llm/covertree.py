@@ -28,6 +28,8 @@ PIVOTS = 1024
 BLOCK = 4096
 PAGE = 1024
 LEAF = 16
+#: Centers that are tried at once when a level is built.
+BATCH = 256
 #: Added to bounds, so that rounding never prunes a link; links themselves are decided by the cosine alone.
 SLACK = 1e-6
 
@@ -54,14 +56,29 @@ def build(x, members=None, center=None) -> Node:
     reach = radius / 2
     bound = 1 - reach * reach / 2
     left, children = members, []
-    c = center
+    first = center
     while len(left):
-        near = x[left] @ x[c] >= bound
-        near[left == c] = True
-        children.append((c, left[near]))
-        left = left[~near]
-        if len(left):
-            c = int(left[0])
+        # a batch of centers: one matrix product, then the greedy choice among them
+        batch = left[: 1 if first is not None else BATCH]
+        if first is not None:
+            batch, first = np.array([first]), None
+        near = x[left] @ x[batch].T >= bound
+        chosen = []
+        among = x[batch] @ x[batch].T >= bound
+        free = np.ones(len(batch), dtype=bool)
+        for k in range(len(batch)):
+            if free[k]:
+                chosen.append(k)
+                free[among[k]] = False
+        near = near[:, chosen]
+        near[np.isin(left, batch[chosen]), :] = batch[chosen][None, :] == left[np.isin(left, batch[chosen])][:, None]
+        taken = near.any(axis=1)
+        owner = near.argmax(axis=1)
+        inside, whose = left[taken], owner[taken]
+        order = np.argsort(whose, kind="stable")
+        cuts = np.searchsorted(whose[order], np.arange(len(chosen) + 1))
+        children += [(int(batch[c]), inside[order[cuts[i] : cuts[i + 1]]]) for i, c in enumerate(chosen)]
+        left = left[~taken]
     return Node(center, radius, members, [build(x, m, c) for c, m in children])
 
 
@@ -233,19 +250,27 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 ids2, n2, y = (ids1, n1, x) if same else load(2)
                 more1 = np.zeros(len(ids1), dtype=np.int64)
                 more2 = more1 if same else np.zeros(len(ids2), dtype=np.int64)
-                star: set[tuple[int, int]] = set()
+                root: dict[int, int] = {}
 
-                def meet(p, q, mask, more1=more1, more2=more2, n1=n1, n2=n2, ids1=ids1, ids2=ids2, star=star):
+                def find(v: int, root=root) -> int:
+                    while root.get(v, v) != v:
+                        root[v] = v = root.get(root[v], root[v])
+                    return v
+
+                def meet(p, q, mask, more1=more1, more2=more2, n1=n1, n2=n2, ids1=ids1, ids2=ids2, root=root, find=find):
                     more1[p] += mask @ n2[q]
                     more2[q] += mask.T @ n1[p]
                     for rows_of, cols in _components(mask):
-                        least = min(ids1[p[rows_of]].min(), ids2[q[cols]].min())
-                        star.update((int(v), int(least)) for v in (*ids1[p[rows_of]], *ids2[q[cols]]) if v != least)
+                        tops = {find(int(v)) for v in (*ids1[p[rows_of]], *ids2[q[cols]])}
+                        least = min(tops)
+                        for v in tops:
+                            root[v] = least
 
                 tree = build(x)
                 traverse(x, y, tree, tree if same else build(y), threshold, meet, same)
                 out = [(int(v), int(c), None) for ids, more in ([(ids1, more1)] if same else [(ids1, more1), (ids2, more2)]) for v, c in zip(ids, more) if c]
-                every += out + [(v, 0, u) for v, u in star]
+                # a spanning star: each vector that links to another once, with its least
+                every += out + [(v, 0, u) for v in list(root) if (u := find(v)) != v]
         return pa.table([pa.array([o[i] for o in every], pa.int64()) for i in range(3)], names=["rep", "more", "with"])
 
     found = materialize(tasks.applyInArrow(pair_up, "rep long, more long, with long"))
