@@ -25,7 +25,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalith.llm.runtime import connected_components, fits, lean, materialize, numbered, small_batches
+from modalith.llm.runtime import connected_components, fits, is_key, lean, materialize, numbered, small_batches, with_row_key
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 5
 #: Pairs are broadcast up to so many rows (some 20 MB), and joined by a shuffle beyond.
@@ -358,11 +358,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each class. Ids should be unique: rows go by id, so a class whose rows
-    share one id goes or stays as a whole. Rows without an id stay."""
-    near = materialize(near_duplicates(docs, id_col, text_col))
-    stay = near.where("kept").select(F.col(id_col).alias("__stay")).distinct()
-    gone = near.where("not kept").select(F.col(id_col).alias("__gone")).where("__gone is not null")
-    gone = gone.join(stay, gone["__gone"] == stay["__stay"], "left_anti")
-    side = F.broadcast(gone) if fits(gone, BROADCAST_PAIRS) else gone
-    return docs.join(side, docs[id_col] == side["__gone"], "left_anti")
+    """The rows of docs that stay, exactly one of each class: that with the least id, null first, and of rows with one
+    id that with the least hash of its text. Rows without words are classes of their own."""
+    if is_key(docs, id_col):
+        near = materialize(near_duplicates(docs, id_col, text_col))
+        gone = near.where("not kept").select(F.col(id_col).alias("__gone"))
+        side = F.broadcast(gone) if fits(gone, BROADCAST_PAIRS) else gone
+        return docs.join(side, docs[id_col] == side["__gone"], "left_anti")
+    rows = with_row_key(docs)
+    near = near_duplicates(rows, "__row", text_col).select("__row", "class_id")
+    named = rows.select("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), "__row").alias("first"))
+    stay = materialize(near.join(named, "__row").groupBy("class_id").agg(F.min("first").alias("first"))).select(F.col("first.__row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").select(*docs.columns)

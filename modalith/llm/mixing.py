@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modalith.llm.runtime import fits, materialize
+from modalith.llm.runtime import fits, is_key, materialize, with_row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a source are summed in slices of about so many.
@@ -72,8 +72,10 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     schedule: tuple[tuple[float, float], ...] = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)),
+    key_col: str | None = None,
 ) -> DataFrame:
-    """(id, source, size, source_size, target, taken, position) for every row of docs, unsorted.
+    """(id, source, size, source_size, target, taken, position) for every row of docs, unsorted; with key_col, which
+    tells rows of one id apart, that column too.
 
     A source with a target of k whole sizes and a rest takes each document k times and then documents in a fixed
     hashed order until the rest is met; at the edge a part of one document. So the words taken of a source are its
@@ -82,7 +84,8 @@ def mix(
     The running sum has two levels: sums of slices of a source, their running sum, and running sums inside a
     slice. A source with a third of all rows is so many slices and never one task."""
     # the scan and the word count happen once; what is kept is some bytes a document
-    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")))
+    key = [] if key_col is None else [key_col]
+    rows = materialize(docs.select(*key, F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")))
     sizes = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     plan = materialize(targets(sizes, weights, share, most))
     small = fits(plan, BROADCAST_SOURCES)
@@ -98,13 +101,14 @@ def mix(
     slices = slices.withColumnRenamed("source", "s").withColumnRenamed("slice", "k")
     small_slices = fits(slices, BROADCAST_SOURCES)
     joined = joined.join(F.broadcast(slices) if small_slices else slices, joined["source"].eqNullSafe(slices["s"]) & (joined["slice"] == slices["k"])).drop("s", "k")
-    inside = Window.partitionBy("source", "slice").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "slice").orderBy("h", "id", "size", *key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begins = F.col("before") + F.sum("size").over(inside) - F.col("size")
     whole = F.floor(F.col("target") / F.col("source_size"))
     rest = F.floor(F.col("target")) - whole.cast("long") * F.col("source_size")
     out = joined.withColumn("begins", begins)
     taken = F.when(F.col("source_size") > 0, whole.cast("long") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("begins")))).otherwise(F.lit(0))
     return out.select(
+        *key,
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
         "size",
@@ -123,14 +127,15 @@ def in_training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """Rows of docs as often as the mix takes them, in training order: a whole text for each full pass, and for a
     document that is taken in part its first words so many, joined by spaces. Rows of which nothing is taken go."""
+    unique = is_key(docs, id_col)
+    docs, key = (docs, id_col) if unique else (with_row_key(docs), "__row")
     rows = docs.withColumn("__size", words(F.col(text_col)))
-    mixed = materialize(mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias("__id"), F.col("taken").alias("__taken"), F.col("position").alias("__position"), (F.col("target") / F.col("source_size")).alias("__passes"), F.col("size").alias("__n")))
-    mixed = mixed.where("__taken > 0").dropDuplicates(["__id"])
-    dealt = rows.join(mixed, rows[id_col] == mixed["__id"]).where(F.col("__size") == F.col("__n"))
+    mixed = materialize(mix(docs, id_col, text_col, source_col, key_col=None if unique else key).select(F.col(key).alias("__id"), F.col("taken").alias("__taken"), F.col("position").alias("__position"), (F.col("target") / F.col("source_size")).alias("__passes")))
+    dealt = rows.join(mixed.where("__taken > 0"), rows[key] == mixed["__id"])
     dealt = dealt.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__taken") / F.col("__size")).cast("long") - 1)))
     part = F.least(F.col("__size"), F.col("__taken") - F.col("__k") * F.col("__size"))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0), 1, part.cast("int")), " ")
     dealt = dealt.withColumn("__text", F.when(part < F.col("__size"), cut).otherwise(F.col(text_col)))
     dealt = dealt.withColumn("__at", (F.col("__k") + F.col("__position")) / F.greatest(F.col("__passes"), F.lit(1.0)))
-    out = dealt.orderBy("__at", F.xxhash64(id_col), id_col, "__k")
-    return out.select(*(F.col("__text").alias(c) if c == text_col else F.char_length("__text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else docs[c] for c in docs.columns))
+    out = dealt.orderBy("__at", F.xxhash64(id_col), id_col, "__k", key)
+    return out.select(*(F.col("__text").alias(c) if c == text_col else F.char_length("__text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else docs[c] for c in docs.columns if c != "__row"))

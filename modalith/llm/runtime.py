@@ -98,13 +98,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(roots.join(cur, roots["id"] == cur["u"], "left_anti").select("id", F.col("id").alias("component")))
 
 
+def is_key(rows: DataFrame, id_col: str) -> bool:
+    """Whether id_col holds integers of which none is null or repeated."""
+    if rows.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return False
+    return rows.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty()
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with a unique long __row. It is written at once: the numbers follow the partitions as they were read."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """((doc, id, text), whether ids are unique), with doc a key of the row: the id where ids are unique and
     integers, else a hash of id, text and the place among equal rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if rows.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
-        twice = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
-        if twice.isEmpty():
-            return rows.select(F.col("id").cast("long").alias("doc"), "id", "text"), True
+    if is_key(rows, "id"):
+        return rows.select(F.col("id").cast("long").alias("doc"), "id", "text"), True
     place = F.row_number().over(Window.partitionBy("id", F.xxhash64("text")).orderBy("text"))
     return materialize(rows.withColumn("k", place).select(F.xxhash64("id", "text", "k").alias("doc"), "id", "text")), False

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalith.llm.runtime import lean, materialize, numbered, small_batches
+from modalith.llm.runtime import is_key, lean, materialize, numbered, small_batches, with_row_key
 
 LENGTH = 400
 GRAM = 32
@@ -431,34 +431,30 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
     """docs with each repeated passage removed from the text and its number of characters brought up to date.
 
-    Where ids are a key, the rows themselves meet their spans, and texts are shuffled once less."""
-    base, unique = numbered(docs, id_col, text_col)
-    if not unique:
-        kept = remove_repeats(docs, id_col, text_col, length).where("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("kept").alias("__kept"))
-        kept = materialize(kept.dropDuplicates(["__id"]))
-        rows = docs.join(kept, docs[id_col] == kept["__id"], "left").withColumn("__text", F.coalesce("__kept", F.col(text_col)))
-        changed = F.col("__kept").isNotNull()
-    else:
-        spans = covered_intervals(base.select("doc", "text"), length).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")).withColumnRenamed("doc", "__doc")
-        rows = docs.join(spans, docs[id_col] == spans["__doc"], "left").drop("__doc")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-
-        def run(batches):
-            import pyarrow as pa
-
-            for b in batches:
-                at = b.schema.get_field_index(text_col)
-                out = []
-                for text, found in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                    if found:
-                        raw, pieces, last = text.encode("utf-8"), [], 0
-                        for lo, hi in merged([(s["lo"], s["hi"]) for s in found]):
-                            pieces.append(raw[last:lo])
-                            last = hi
-                        text = b"".join([*pieces, raw[last:]]).decode("utf-8", "ignore")
-                    out.append(text)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "__text"])
-
-        rows = rows.mapInArrow(lean(run), f"{schema}, __text string")
-        changed = F.col("__spans").isNotNull()
+    The rows themselves meet their spans, by id where ids are a key and else by a number given to each row."""
+    if not is_key(docs, id_col):
+        return strip_repeats(with_row_key(docs), "__row", text_col, chars_col, length).select(*docs.columns)
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    spans = covered_intervals(base, length).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")).withColumnRenamed("doc", "__doc")
+    rows = docs.join(spans, docs[id_col] == spans["__doc"], "left").drop("__doc")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            out = []
+            for text, found in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if found:
+                    raw, pieces, last = text.encode("utf-8"), [], 0
+                    for lo, hi in merged([(s["lo"], s["hi"]) for s in found]):
+                        pieces.append(raw[last:lo])
+                        last = hi
+                    text = b"".join([*pieces, raw[last:]]).decode("utf-8", "ignore")
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "__text"])
+
+    rows = rows.mapInArrow(lean(run), f"{schema}, __text string")
+    changed = F.col("__spans").isNotNull()
     return rows.select(*(F.col("__text").alias(c) if c == text_col else F.when(changed, F.char_length("__text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(f"`{c}`") for c in docs.columns))
