@@ -3,7 +3,8 @@ serialised as canonical JSON. DataFrame expressions only.
 
 Messages hold calls as JSON: {"tool_calls": [{"id", "name", "arguments": {...}}]}, and results as
 {"tool_call_id": ..., "content": ...}. A call depends on each call that its arguments name as {"$ref": id} or in
-an `after` field. A topological level is found by Kahn's rounds, all calls at once; calls on a cycle keep none.
+an `after` field. A topological level is found by pointer doubling along chains and by Kahn's rounds where a call has several needs,
+all calls at once; calls on or behind a cycle keep none.
 
 Null texts and texts that aren't such JSON hold no call. A conversation without calls gets an empty list. Where an
 identifier occurs twice in a conversation, the call that comes first holds it and later ones are counted as
@@ -13,6 +14,8 @@ conversation. Empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,27 +69,53 @@ def problems(name: Column, v: Column, schemas: dict = SCHEMAS) -> Column:
     return out
 
 
-def levels(calls: DataFrame, needs: DataFrame, most: int = 10_000) -> DataFrame:
+def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv_id, id, level) of the calls that aren't on or behind a cycle: 0 without needs, else one more than the
-    highest that it needs. needs: (conv_id, id, need). Kahn's rounds: each settles the calls whose needs are all
-    settled, with equi-joins on (conversation, identifier), and reads only what is still open."""
-    settled = materialize(calls.join(needs.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level")))
-    left = materialize(needs)
-    parts, level = [settled], 0
-    last = settled
-    while level < most and not left.isEmpty():
-        level += 1
-        done = last.select("conv_id", F.col("id").alias("need"))
-        rest = materialize(left.join(done, ["conv_id", "need"], "left_anti"))
-        last = materialize(left.select("conv_id", "id").distinct().join(rest.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(level)))
-        if last.isEmpty():
+    highest that it needs. needs: (conv_id, id, need), distinct, each need a call of the same conversation.
+
+    Calls with one need are chains: pointers are doubled until each has its head, a call with no need or with
+    several, so a chain takes logarithmically many rounds. Calls with several needs go by Kahn's rounds over heads,
+    as long as a round settles any; what is left then is on or behind a cycle."""
+    key = ["conv_id", "id"]
+    count = needs.groupBy(*key).agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    nodes = materialize(calls.select(*key).join(count, key, "left").select(*key, F.coalesce("n", F.lit(0)).alias("n"), "need"))
+    kind = nodes.select("conv_id", F.col("id").alias("need"), F.col("n").alias("m"))
+    # a call's head is null where it is a call without needs
+    jumped = nodes.where("n = 1").join(kind, ["conv_id", "need"]).select(*key, F.when(F.col("m") > 0, F.col("need")).alias("head"), F.lit(1).alias("d"), (F.col("m") == 1).alias("open"))
+    jumped = materialize(jumped)
+    done, left = jumped.where("not open"), jumped.where("open")
+    longest, reach = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0, 1
+    # a path of more steps than a conversation has calls is on a cycle
+    while reach <= longest and not left.isEmpty():
+        ahead = done.union(left).select("conv_id", F.col("id").alias("head"), F.col("head").alias("far"), F.col("d").alias("more"), F.col("open").alias("on"))
+        jumped = materialize(left.join(ahead, ["conv_id", "head"]).select(*key, F.col("far").alias("head"), (F.col("d") + F.col("more")).alias("d"), F.col("on").alias("open")))
+        done, left, reach = done.union(jumped.where("not open")), jumped.where("open"), 2 * reach
+    settled = nodes.where("n = 0").select(*key, F.lit(0).alias("level")).union(done.where("head is null").select(*key, F.col("d").alias("level")))
+    if nodes.where("n > 1").isEmpty():
+        return settled
+
+    through = done.select("conv_id", F.col("id").alias("need"), "head", "d", F.lit(True).alias("chained"))
+    several = needs.join(nodes.where("n > 1").select(*key), key, "left_semi")
+    edges = several.join(kind, ["conv_id", "need"]).join(through, ["conv_id", "need"], "left")
+    head = F.when(F.col("m") == 0, F.lit(None)).when(F.col("chained"), F.col("head")).otherwise(F.col("need"))
+    waits = edges.select(*key, head.alias("head"), (F.coalesce("d", F.lit(0)) + 1).alias("d"))
+    waits = materialize(waits.select(*key, "head", "d", F.when(F.col("head").isNull(), F.col("d")).alias("v")))
+    parts: list[DataFrame] = []
+    while True:
+        ready = materialize(waits.groupBy(*key).agg(F.count_if(F.col("v").isNull()).alias("k"), F.max("v").alias("level")).where("k = 0").select(*key, "level"))
+        if ready.isEmpty():
             break
-        parts.append(last)
-        left = rest
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        parts.append(ready)
+        if len(parts) == 32:  # plans stay small
+            parts = [materialize(reduce(DataFrame.union, parts))]
+        told = ready.select("conv_id", F.col("id").alias("head"), F.col("level").alias("l"))
+        waits = waits.join(ready.select(*key), key, "left_anti").join(told, ["conv_id", "head"], "left")
+        waits = materialize(waits.select(*key, "head", "d", F.coalesce("v", F.col("l") + F.col("d")).alias("v")))
+    if not parts:
+        return settled
+    found = materialize(reduce(DataFrame.union, parts))
+    behind = done.join(found.select("conv_id", F.col("id").alias("head"), F.col("level").alias("l")), ["conv_id", "head"])
+    return settled.union(found).union(behind.select(*key, (F.col("l") + F.col("d")).alias("level")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> tuple[DataFrame, DataFrame]:
