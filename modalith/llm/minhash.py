@@ -9,9 +9,10 @@ which all slots are filled are made, so a document costs about slots * (ln slots
 
 Equal bands make candidates, and a candidate counts only if the multisets themselves overlap by `threshold` or
 more. With 40 bands of 5 slots a pair at 0.8 is missed with probability 1.3e-7. Classes are the connected components
-of the links. Within a bucket all members are verified against its least; then members that are still in another
-class are compared among each other and with the rest, small buckets pair by pair and large ones, joined into families, by
-blocks of signatures, so that a link between any two members is found, while a group of copies costs a pair a copy.
+of the links. A text is verified against the least members of its buckets, the least of these first; buckets whose
+members are then still of several classes are joined into families, and within a family the members outside its largest
+class are compared with all by blocks of signatures. So a link between any two members of a bucket is found, no
+pairs are listed, and a group of copies costs a pair a copy.
 
 Equal texts are one class from the start and only one of them is compared. Null texts and texts without words are
 each their own class. Rows with equal ids are compared like any others. Empty tables give empty results.
@@ -32,9 +33,9 @@ WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 5
 BROADCAST_PAIRS = 300_000
 #: Members of one center that are verified by one task at most.
 FAN = 512
-#: In a bucket with at most so many open pairs they are listed; beyond, signatures are compared by blocks.
-LISTED = 4096
-BLOCK = 4096
+#: A block of a family holds about so many members, and bags of about so many bytes.
+BLOCK = 2048
+BLOCK_BYTES = 64 << 20
 _MEMO = 200_000
 _words: dict[str, int] = {}
 
@@ -235,7 +236,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, threshold: float)
 
 
 def _families(opened: DataFrame) -> DataFrame:
-    """(family, id, class, rest, n_rest, n_all) of the members (id, center, class) of large open buckets.
+    """(family, id, class, rest, n_rest, n_all) of the members (id, center, class) of open buckets.
 
     Members of such buckets that hang together are one family, so that a text stands in one family however many
     of its buckets are open. rest: whether it is outside the family's largest class."""
@@ -247,15 +248,18 @@ def _families(opened: DataFrame) -> DataFrame:
     return out.select("family", "id", "class", "rest", (F.col("n_all") - F.col("n_head")).alias("n_rest"), "n_all").where("n_rest > 0")
 
 
-def _block_links(rows: DataFrame, slots: int, least: float, threshold: float) -> DataFrame:
+def _block_links(rows: DataFrame, slots: int, least: float, threshold: float, block: int) -> DataFrame:
     """Links (u, v) between classes of a family, at least one member outside its largest class; enough of them to
     connect all classes that any link connects. rows: (family, id, class, rest, n_rest, n_all, sig, bag).
 
-    The rest in blocks meet all members in blocks; a block pair is one group, of bounded size. Within it a pair
-    whose signatures agree in a share of at least `least` is verified by its multisets, the most alike first,
+    The rest in blocks meet all members in blocks; a block pair is one group, of bounded size: blocks are dealt by
+    their number of members and by the bytes of their bags. Within it a pair whose signatures agree in a share of at
+    least `least` is verified by its multisets, the most alike first,
     unless links found before connect its classes already."""
-    rest_blocks = F.ceil(F.col("n_rest") / BLOCK).cast("int")
-    all_blocks = F.ceil(F.col("n_all") / BLOCK).cast("int")
+    size = F.length("bag")
+    weight = rows.groupBy("family").agg(F.sum(F.when(F.col("rest"), size)).alias("rest_bytes"), F.sum(size).alias("all_bytes"))
+    rows = rows.join(weight, "family")
+    rest_blocks, all_blocks = (F.ceil(F.greatest(F.col(f"n_{k}") / block, F.col(f"{k}_bytes") / BLOCK_BYTES)).cast("int") for k in ("rest", "all"))
     place = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
     left = rows.where("rest").withColumn("i", place(rest_blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), all_blocks - 1))).withColumn("side", F.lit(0))
     right = rows.withColumn("j", place(all_blocks)).withColumn("i", F.explode(F.sequence(F.lit(0), rest_blocks - 1))).withColumn("side", F.lit(1))
@@ -300,41 +304,46 @@ def _block_links(rows: DataFrame, slots: int, least: float, threshold: float) ->
     return left.select(cols).union(right.select(cols)).groupBy("family", "i", "j").applyInArrow(compare, "u long, v long")
 
 
-def links(texts: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, listed: int = LISTED) -> DataFrame:
-    """Classes (id, component) of the texts (id long, text) that are linked to another; ids are unique."""
+def links(texts: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """Classes (id, component) of the texts (id long, text) that are linked to another; ids are unique.
+
+    Every text is first verified against the least center of its buckets, one pair a text; then texts that are in
+    another class than a center of theirs against the other centers; what is still open goes to the families."""
     signed = _sign(texts, width, bands, rows, with_signature=False)
     buckets = materialize(signed.select("id", F.explode("keys").alias("bucket")))
     several = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
     members = materialize(buckets.join(several, "bucket"))
-    pairs = members.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()
-    edges = materialize(_verified(texts, materialize(pairs), width, threshold))
+    pairs = materialize(members.where("id <> center").groupBy(F.col("id").alias("v")).agg(F.min("center").alias("u")).select("u", "v"))
+    edges = materialize(_verified(texts, pairs, width, threshold))
+    classes = materialize(connected_components(edges))
+
+    opened = materialize(_open(members, classes))
+    more = opened.where("id <> center and class <> head").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()
+    more = materialize(more.join(pairs, ["u", "v"], "left_anti"))
+    edges = materialize(edges.union(_verified(texts, more, width, threshold)))
     classes = materialize(connected_components(edges))
 
-    # what the centers left open: members of buckets of three or more that aren't in their center's class
-    named = members.where("n > 2").join(classes.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
-    heads = named.where("id = center").select("bucket", F.col("class").alias("head"))
-    named = materialize(named.join(heads, "bucket").withColumn("rest", F.col("class") != F.col("head")))
-    state = named.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count("*").alias("n_all")).where("n_rest > 0")
-    opened = materialize(named.join(state, "bucket").where("id <> center").select("bucket", "center", "id", "class", "rest", "n_rest", "n_all"))
+    # with two members nothing but their pair was open
+    opened = materialize(_open(members.where("n > 2"), classes).where("id <> center"))
     if opened.isEmpty():
         return classes
-    few = opened.where(F.col("n_rest") * F.col("n_all") <= listed)
-    other = few.select("bucket", F.col("id").alias("v"), F.col("class").alias("vc"))
-    more = few.where("rest").join(other, "bucket").where("id <> v and class <> vc").select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
-    found = edges.union(_verified(texts, materialize(more), width, threshold))
-    many = opened.where(F.col("n_rest") * F.col("n_all") > listed)
-    if not many.isEmpty():
-        family = materialize(_families(many))
-        wanted = family.select("id")
-        wanted = texts.join(F.broadcast(wanted) if fits(wanted, BROADCAST_PAIRS) else wanted, "id", "left_semi")
-        again = materialize(_sign(wanted, width, bands, rows, with_signature=True))
-        # five standard deviations of the estimate at the threshold
-        least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
-        found = found.union(_block_links(family.join(again.select("id", "sig", "bag"), "id"), bands * rows, least, threshold))
-    return connected_components(found)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, listed: int = LISTED) -> DataFrame:
+    family = materialize(_families(opened))
+    wanted = family.select("id")
+    wanted = texts.join(F.broadcast(wanted) if fits(wanted, BROADCAST_PAIRS) else wanted, "id", "left_semi")
+    again = materialize(_sign(wanted, width, bands, rows, with_signature=True))
+    # five standard deviations of the estimate at the threshold
+    least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
+    return connected_components(edges.union(_block_links(family.join(again.select("id", "sig", "bag"), "id"), bands * rows, least, threshold, block)))
+
+
+def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, id, center, class, head) of the buckets whose members are of several classes; head is the center's."""
+    named = members.select("bucket", "id", "center").join(classes.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    several = named.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.min_by("class", "id").alias("head")).where("a <> z").select("bucket", "head")
+    return named.join(several, "bucket").select("bucket", "id", "center", "class", "head")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(id, class_id, kept) for every row: the class's least id, and whether the row is the one that stays."""
     small_batches(docs.sparkSession)
     base, unique = numbered(docs, id_col, text_col)
@@ -345,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = materialize(hashed.where("words").groupBy(key).agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"))
     side = F.broadcast(copies) if fits(copies, BROADCAST_PAIRS) else copies
     texts = keyed.where("words").join(side, key, "left").where("rep is null or rep = doc").select(F.col("doc").alias("id"), "text")
-    classes = links(texts, width, threshold, bands, rows, listed).withColumnsRenamed({"id": "rep", "component": "class"})
+    classes = links(texts, width, threshold, bands, rows, block).withColumnsRenamed({"id": "rep", "component": "class"})
     placed = hashed.where("words").join(side, key, "left").select("doc", "id", F.coalesce("rep", "doc").alias("rep"))
     placed = placed.join(classes, "rep", "left").select("doc", "id", F.coalesce("class", "rep").alias("class"))
     alone = hashed.where("not words").select("doc", "id", F.col("doc").alias("class"))

@@ -55,8 +55,8 @@ def test_signatures_are_unbiased():
     assert (minhash.signatures([np.array([5], dtype=np.uint64)], 200) != 0).all()
 
 
-@pytest.mark.parametrize("listed", [4096, 0])
-def test_classes_are_those_of_all_pairs(spark, listed):
+@pytest.mark.parametrize("block", [2048, 8])
+def test_classes_are_those_of_all_pairs(spark, block):
     """Families of drifting copies, whose members link to some of each other only."""
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -69,7 +69,7 @@ def test_classes_are_those_of_all_pairs(spark, listed):
             rows.append((len(rows) * 3, " ".join(text)))
     rows += [(1000, ""), (1001, None), (1002, " \n"), (1003, "one two"), (1004, "One  two"), (1005, "x " * 5000), (1006, "x " * 4500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, listed=listed).collect()}
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, block=block).collect()}
     assert [got[k] for k, _ in rows] == classes(rows)
 
 
