@@ -77,7 +77,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+    rows = suffix.remove_repeats(_read(spark, sf_dir, "documents"), passage=suffix.PASSAGE)
+    return rows.drop("kept").withColumnRenamed("without_passages", "text")
 
 
 QUERIES = {

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import shutil
 import tempfile
 import uuid
 
@@ -42,21 +45,44 @@ def lean(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir. Where the session names none, a temporary one for a local master
+    (tests); on a cluster that is an error, since executors don't share such a folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         path = tempfile.mkdtemp(prefix="modalith-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage is cut, and a lost executor
-    costs only the tasks that were reading, since the files are not on its disk."""
+    costs only the tasks that were reading, since the files are not on its disk. Then the tables `spent`, which
+    nothing needs any more, are deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    forget(*spent)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._modalith_table = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no plan reads any more."""
+    for df in tables:
+        if path := getattr(df, "_modalith_table", None):
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done: its cleaner goes by what the driver's JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fits(df: DataFrame, rows: int) -> bool:
@@ -87,7 +113,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        cur = materialize(small.where("u <> v").distinct())
+        cur = materialize(small.where("u <> v").distinct(), cur)
         after = cur.agg(*digest).first()
         if after == before:
             break

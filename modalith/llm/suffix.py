@@ -26,9 +26,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalith.llm.runtime import is_key, lean, materialize, numbered, small_batches, with_row_key
+from modalith.llm.runtime import forget, is_key, lean, materialize, numbered, release, small_batches, with_row_key
 
 LENGTH = 400
+#: Passages of 50 words: so many bytes at five a word, the space included.
+PASSAGE = 250
 GRAM = 32
 MOST = 8192
 CHUNK = 1 << 19
@@ -325,13 +327,15 @@ def _split(hot: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame
             return covered, arrays
 
 
-def covered_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """(doc, lo, hi): bytes lo to hi of document doc are covered by strings of `length` bytes that also start
-    elsewhere. Intervals of a document may overlap. docs: (doc long, text), doc unique."""
+def covered_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, list[DataFrame]]:
+    """((doc, lo, hi), tables): bytes lo to hi of document doc are covered by strings of `length` bytes that also
+    start elsewhere. Intervals of a document may overlap. docs: (doc long, text), doc unique. tables are those that
+    the plan reads; they can go when it has run."""
     small_batches(docs.sparkSession)
     runs = materialize(anchors(docs, length, gram))
     alike = materialize(runs.groupBy("key", "cx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "lo", "hi", "a")).alias("one")))
-    whole = runs.join(alike.where("n > 1").select("key", "cx"), ["key", "cx"], "left_semi").select("doc", "lo", (F.col("hi") + length).alias("hi"))
+    copies = runs.join(alike.where("n > 1").select("key", "cx"), ["key", "cx"], "left_semi").select("doc", "lo", (F.col("hi") + length).alias("hi"))
+    whole = materialize(copies, runs)
 
     many = alike.groupBy("key").agg(F.count("*").alias("d")).where("d > 1")
     reps = alike.join(many, "key").groupBy(F.col("one.doc").alias("doc")).agg(F.collect_list(F.struct("one.lo", "one.hi", "one.a", "key", "n", "d")).alias("runs"))
@@ -353,10 +357,10 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, m
     contexts = docs.join(reps, "doc").select("doc", "text", "runs").mapInArrow(lean(cut), "key long, doc long, a int, p int, n long, ctx binary, d long")
     hot_keys = many.where(F.col("d") > most)
     if hot_keys.isEmpty():
-        return whole.union(_in_arrays(contexts.drop("d"), length))
-    contexts = materialize(contexts)
+        return whole.union(_in_arrays(contexts.drop("d"), length)), [alike, whole]
+    contexts = materialize(contexts, alike)
     covered, arrays = _split(contexts.where(F.col("d") > most).drop("d"), length, gram, most)
-    return whole.union(covered).union(_in_arrays(contexts.where(F.col("d") <= most).drop("d").union(arrays), length))
+    return whole.union(covered).union(_in_arrays(contexts.where(F.col("d") <= most).drop("d").union(arrays), length)), [contexts, whole]
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -370,37 +374,91 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
+def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    pieces, last = [], 0
+    for lo, hi in runs:
+        pieces.append(text[last:lo])
+        last = hi
+    return b"".join([*pieces, text[last:]])
+
+
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """(doc, spans array<struct<lo, hi>>), a table of its own: the covered intervals of each document that has any."""
+    found, tables = covered_intervals(docs, length, gram, most)
+    found = materialize(found.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    forget(*tables)
+    release(docs.sparkSession)
+    return found
+
+
+def spans_within(docs: DataFrame, outer: DataFrame, length: int, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """As spans(docs, length), from the spans `outer` of a smaller length: a repeated string of `length` bytes is
+    repeated in all its shorter parts too, so it lies within a run of the outer spans that is at least as long. Only
+    such runs are searched, as texts of their own."""
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out: list[tuple] = []
+            for doc, text, found in zip(*(b.column(i).to_pylist() for i in range(3))):
+                raw = text.encode("utf-8", "surrogatepass")
+                out += [(doc, lo, raw[lo:hi]) for lo, hi in merged([(s["lo"], s["hi"]) for s in found]) if hi - lo >= length]
+            for k in range(0, len(out), 1_000):
+                part = out[k : k + 1_000]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part), [pa.int64(), pa.int32(), pa.binary()])], names=["whole", "at", "text"])
+
+    pieces = docs.join(outer, "doc").select("doc", "text", "spans").mapInArrow(lean(cut), "whole long, at int, text binary")
+    pieces = materialize(pieces.withColumn("doc", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
+    found, tables = covered_intervals(pieces.select("doc", "text"), length, gram, most)
+    place = pieces.select("doc", "whole", "at")
+    found = found.join(place, "doc").groupBy("whole").agg(F.collect_list(F.struct((F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi"))).alias("spans"))
+    found = materialize(found.withColumnRenamed("whole", "doc"), *tables, pieces)
+    release(docs.sparkSession)
+    return found
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, passage: int | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row: kept is the text without each byte that a
     repeated string of `length` bytes covers, all its occurrences alike. kept drops what is left of a character
-    that a removed run cuts; the digest is of the remaining bytes as they are."""
+    that a removed run cuts; the digest is of the remaining bytes as they are.
+
+    With `passage`, a length below `length`, the rows also have without_passages, the text without repeats of so
+    many bytes; then the longer ones are searched within the shorter ones' runs."""
     rows, _ = numbered(docs, id_col, text_col)
-    spans = covered_intervals(rows.select("doc", "text"), length, gram, most)
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    base = rows.select("doc", "text")
+    if passage is None:
+        found = spans(base, length, gram, most).withColumn("short", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
+    else:
+        short = spans(base, passage, gram, most)
+        found = spans_within(base, short, length, gram, most)
+        found = short.withColumnRenamed("spans", "short").join(found, "doc", "left").select("doc", "spans", "short")
+    more = passage is not None
 
     def run(batches):
         import pyarrow as pa
 
+        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "without_passages"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                out: list[list] = [[], [], [], [], []]
-                for text, found in zip(part.column(1).cast(pa.large_binary()).to_pylist(), part.column(2).to_pylist()):
+                out: list[list] = [[] for _ in kinds]
+                for text, found, short in zip(part.column(1).cast(pa.large_binary()).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
                     text = text or b""
-                    spans_of = merged([(s["lo"], s["hi"]) for s in found or ()])
-                    pieces, last = [], 0
-                    for lo, hi in spans_of:
-                        pieces.append(text[last:lo])
-                        last = hi
-                    rest = b"".join([*pieces, text[last:]])
-                    for x, v in zip(out, (len(text), len(text) - len(rest), len(spans_of), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore"))):
+                    runs = merged([(s["lo"], s["hi"]) for s in found or ()])
+                    rest = without(text, runs)
+                    bare = without(text, merged([(s["lo"], s["hi"]) for s in short or ()])).decode("utf-8", "ignore") if more else None
+                    for x, v in zip(out, (len(text), len(text) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore"), bare)):
                         x.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                columns = [part.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))]
+                yield pa.RecordBatch.from_arrays(columns[: 6 + more], names=names[: 6 + more])
 
     kind = rows.schema["id"].dataType.simpleString()
-    joined = rows.join(spans, "doc", "left").select("id", "text", "spans")
-    return joined.mapInArrow(lean(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
+    joined = rows.join(found, "doc", "left").select("id", "text", "spans", "short")
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + ", without_passages string" * more
+    return joined.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -428,15 +486,15 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return contexts.repartition("key").sortWithinPartitions("key", "doc", "a").mapInArrow(lean(run), "repeat string, length long, doc long, start long")
 
 
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = PASSAGE) -> DataFrame:
     """docs with each repeated passage removed from the text and its number of characters brought up to date.
 
     The rows themselves meet their spans, by id where ids are a key and else by a number given to each row."""
     if not is_key(docs, id_col):
         return strip_repeats(with_row_key(docs), "__row", text_col, chars_col, length).select(*docs.columns)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = covered_intervals(base, length).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")).withColumnRenamed("doc", "__doc")
-    rows = docs.join(spans, docs[id_col] == spans["__doc"], "left").drop("__doc")
+    found = spans(base, length).withColumnsRenamed({"spans": "__spans", "doc": "__doc"})
+    rows = docs.join(found, docs[id_col] == found["__doc"], "left").drop("__doc")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches):
@@ -447,11 +505,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out = []
             for text, found in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 if found:
-                    raw, pieces, last = text.encode("utf-8"), [], 0
-                    for lo, hi in merged([(s["lo"], s["hi"]) for s in found]):
-                        pieces.append(raw[last:lo])
-                        last = hi
-                    text = b"".join([*pieces, raw[last:]]).decode("utf-8", "ignore")
+                    text = without(text.encode("utf-8"), merged([(s["lo"], s["hi"]) for s in found])).decode("utf-8", "ignore")
                 out.append(text)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "__text"])
 

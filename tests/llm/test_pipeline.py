@@ -6,30 +6,14 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import types as T
 
-from modalith.llm import mixing, quality
+from modalith.llm import mixing, quality, suffix
 from modalith.llm.queries import vocabulary_path
 from test_minhash import classes
-from test_suffix import brute
+from test_suffix import bare
 
 SF = "/root/testdata/sf0.001"
 
 
-def removed(texts):
-    """Texts without what brute force says repeats."""
-    from modalith.llm import suffix
-    from collections import Counter
-
-    raw = [(t or "").encode() for t in texts]
-    seen = Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
-    out = []
-    for t in raw:
-        kept, last = b"", 0
-        for lo, hi in suffix.merged([(i, i + 400) for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1]):
-            kept, last = kept + t[last:lo], hi
-        out.append((kept + t[last:]).decode("utf-8", "ignore"))
-    return out
-
-
 def test_each_stage_against_a_plain_version(spark):
     tokenizers = pytest.importorskip("tokenizers")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -52,9 +36,9 @@ def test_each_stage_against_a_plain_version(spark):
 
     before, after, _ = tables["suffix"]
     got = after.set_index("doc_id")
-    for d, t in zip(before.doc_id, removed(before.text)):
+    for d, t in zip(before.doc_id, bare(before.text, suffix.PASSAGE)):
         assert got.loc[d].text == t and got.loc[d].n_chars == len(t)
-    assert len(after) == len(before) and len(brute(before.text, 400)) == len(before)
+    assert len(after) == len(before)
 
     before, after, _ = tables["mixing"]
     size = lambda t: len(re.findall(mixing.WORD, t))

@@ -26,6 +26,13 @@ def brute(texts, length):
     return out
 
 
+def bare(texts, length):
+    """Each text without what brute force says repeats."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+    return [suffix.without(t, suffix.merged([(i, i + length) for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1])).decode("utf-8", "ignore") for t in raw]
+
+
 def compare(spark, texts, **kw):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs, **kw).collect()}
@@ -61,6 +68,15 @@ def test_against_counting_every_substring(spark, seed, most):
     assert compare(spark, family(rng, 60, 40), length=40, gram=8, most=most) > 10
 
 
+@pytest.mark.parametrize("seed", [11, 12])
+def test_longer_repeats_lie_within_shorter_ones(spark, seed):
+    texts = family(random.Random(seed), 60, 40)
+    assert compare(spark, texts, length=40, gram=8, passage=24) > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.without_passages for r in suffix.remove_repeats(docs, length=40, gram=8, passage=24).collect()}
+    assert [got[i] for i in range(len(texts))] == bare(texts, 24)
+
+
 def test_long_documents_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK", 64)
     import numpy as np
@@ -80,6 +96,8 @@ def test_query_on_documents(spark):
     for d, want in zip(docs.doc_id, brute(docs.text, 400)):
         r = got.loc[d]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want
+    for d, text in zip(docs.doc_id, bare(docs.text, suffix.PASSAGE)):
+        assert got.loc[d].text == text
 
 
 def test_maximal_repeats_have_all_occurrences(spark):
