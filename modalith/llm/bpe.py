@@ -1,12 +1,14 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
 The vocabulary file (tokenizers JSON: word-end BPE over a byte alphabet) is read once on the driver and broadcast;
-its size is that of the merge list. A text is consumed as a stream of pieces, each piece as a stream of byte
-symbols. Rank-ordered merging is not left-to-right, but what follows a position can only change a bounded stretch
+its size is that of the merge list. A text is consumed as a stream of slices, a slice as a stream of pieces, each
+piece as a stream of byte symbols. Rank-ordered merging is not left-to-right, but what follows a position can only change a bounded stretch
 before it: `sufficient_lookahead` computes that bound from the merge list, and the transducer emits a token once
-more symbols than the bound follow it. So a piece of any length is encoded in constant memory.
+more symbols than the bound follow it. So a text is encoded in constant memory beside itself, as long as its white
+space is not further apart than a slice; a longer stretch is normalised and its ids are held whole.
 
-Null and empty texts give no tokens. Repeated rows are encoded alike. The only growing state is a bounded memo.
+Null and empty texts give no tokens. Repeated rows are encoded alike. Empty tables give empty results; other columns
+are ignored, so their names can't clash. The only growing state is a bounded memo of words.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain, islice
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,8 @@ from modalith.llm.runtime import lean, small_batches
 _SPACE = "\t-\r \x85\xa0  -     　"
 MEMO = 400_000
 WINDOW = 64
+#: Characters of a text that are encoded at a time, up to the next white space.
+SLICE = 1 << 16
 
 
 def byte_alphabet() -> list[str]:
@@ -100,6 +105,7 @@ class Encoder:
         self.alphabet = byte_alphabet()
         self.pieces = regex.compile(vocab.pattern)
         self.spaces = regex.compile(f"[{_SPACE}]+")
+        self.space = regex.compile(f"[{_SPACE}]")
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(vocab.special, key=len, reverse=True)) or r"(?!)")
         self.words = _Memo(self._word)
 
@@ -147,58 +153,73 @@ class Encoder:
                     heappush(heap, (new[0], k))
         return [t for t in token if t is not None]
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[int]:
+    def stream(self, symbols: Iterator[str]) -> Iterator[int]:
         """Ids of one piece from its symbols, holding at most a few lookaheads of them.
 
         The stream's last symbol carries the word-end suffix. When the buffer holds more than four lookaheads, it
         is merged and the tokens that end more than one lookahead before its end are emitted: nothing that
-        follows can change them. What is left starts at a token edge, so the rest merges as in the whole piece.
-        """
+        follows can change them. What is left starts at a token edge, so the rest merges as in the whole piece."""
         look, ids = self.v.lookahead, self.v.ids
-        buffer: list[str] = []
-        for s in symbols:
-            buffer.append(s)
-            if len(buffer) > 4 * look:
-                done = 0
-                for token in self._merge(list(buffer)):
-                    if done + len(token) > len(buffer) - look:
-                        break
-                    done += len(token)
-                    yield ids[token]
-                del buffer[:done]
+        full = 4 * look + 1
+        buffer = list(islice(symbols, full))
+        while len(buffer) == full:
+            done = 0
+            for token in self._merge(list(buffer)):
+                if done + len(token) > full - look:
+                    break
+                done += len(token)
+                yield ids[token]
+            del buffer[:done]
+            buffer.extend(islice(symbols, full - len(buffer)))
         for token in self._merge(buffer):
             if token in ids:
                 yield ids[token]
 
+    def _symbols(self, piece: str) -> Iterator[str]:
+        """The byte symbols of a piece, the last with the word-end suffix."""
+        data = piece.encode("utf-8", "surrogatepass")
+        return chain(map(self.alphabet.__getitem__, data[:-1]), [self.alphabet[data[-1]] + self.v.suffix])
+
     def _word(self, word: str) -> bytes:
         """Ids of a stretch without white space: normalised, cut into pieces, each piece streamed. No piece, no
         composition and no case mapping reaches across white space, so words are independent."""
-        out, ids = array("I"), self.v.ids
-        for piece in self.pieces.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()):
-            data = piece.encode("utf-8", "surrogatepass")
-            last = len(data) - 1
-            if last < self.v.lookahead:  # the whole piece fits in a buffer
-                symbols = [self.alphabet[b] for b in data]
-                symbols[last] += self.v.suffix
-                out.extend([ids[t] for t in self._merge(symbols) if t in ids])
-                continue
-            out.extend(self.stream(self.alphabet[b] + (self.v.suffix if i == last else "") for i, b in enumerate(data)))
+        out = array("I")
+        for piece in self.pieces.finditer(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()):
+            out.extend(self.stream(self._symbols(piece[0])))
         return out.tobytes()
 
+    def _slices(self, text: str, begin: int, end: int) -> Iterator[str]:
+        """text[begin:end] in slices of at least SLICE characters that end before white space."""
+        while begin < end:
+            m = self.space.search(text, begin + SLICE, end) if end - begin > SLICE else None
+            stop = m.start() if m else end
+            yield text[begin:stop]
+            begin = stop
+
     def _plain(self, text: str) -> bytes:
         # str.split() also splits at U+001C to U+001F, which the vocabulary's patterns don't
         odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
         return b"".join(map(self.words.__getitem__, [w for w in self.spaces.split(text) if w] if odd else text.split()))
 
-    def encode(self, text: str | None) -> array:
-        """Ids of a whole text; special tokens are taken from the raw text, before it is normalised."""
-        out, at, text = array("I"), 0, text or ""
-        if any(s in text for s in self.v.special):
-            for m in self.special.finditer(text):
-                out.frombytes(self._plain(text[at : m.start()]))
-                out.append(self.v.special[m[0]])
+    def parts(self, text: str | None) -> Iterator[array]:
+        """Ids of a whole text, slice by slice: what is held is one slice and its ids, however long the text, unless
+        a stretch without white space is longer. Special tokens are taken from the raw text, before it is
+        normalised."""
+        text, at = text or "", 0
+        marks = self.special.finditer(text) if any(s in text for s in self.v.special) else ()
+        for m in chain(marks, [None]):
+            for part in self._slices(text, at, m.start() if m else len(text)):
+                ids = array("I")
+                ids.frombytes(self._plain(part))
+                yield ids
+            if m:
+                yield array("I", [self.v.special[m[0]]])
                 at = m.end()
-        out.frombytes(self._plain(text[at:] if at else text))
+
+    def encode(self, text: str | None) -> array:
+        out = array("I")
+        for ids in self.parts(text):
+            out.extend(ids)
         return out
 
 
@@ -272,7 +293,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
 def roundtrip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, decode it again, and return digests of both: (id, n_tokens, ids_sha256,
-    decoded_sha256). The decoder is fed slices of ids, so neither side holds more than one text's ids."""
+    decoded_sha256). Ids go from the encoder to the digests and the decoder slice by slice and are never held whole."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary))
@@ -286,17 +307,16 @@ def roundtrip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
                 b = whole.slice(at, 512)
                 n, left, right = [], [], []
                 for text in b.column(1).to_pylist():
-                    ids = enc.encode(text)
-                    n.append(len(ids))
-                    if sys.byteorder == "big":
-                        ids.byteswap()
-                    left.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    if sys.byteorder == "big":
-                        ids.byteswap()
-                    digest = hashlib.sha256()
-                    for k in range(0, len(ids), 65536):
-                        digest.update(dec.feed(ids[k : k + 65536]).encode("utf-8"))
+                    total, ids_digest, digest = 0, hashlib.sha256(), hashlib.sha256()
+                    for ids in enc.parts(text):
+                        total += len(ids)
+                        digest.update(dec.feed(ids).encode("utf-8"))
+                        if sys.byteorder == "big":
+                            ids.byteswap()
+                        ids_digest.update(ids.tobytes())
                     digest.update(dec.end().encode("utf-8"))
+                    n.append(total)
+                    left.append(ids_digest.hexdigest())
                     right.append(digest.hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(left), pa.array(right)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -131,3 +131,24 @@ def test_bpe_streams_long_pieces_and_odd_texts(spark):
     got = bpe.encode_documents(docs, vocabulary_path()).collect()
     assert len(got) == len(ODD) and not [r for r in got if r.doc_id in (1, 2)][0].ids
     assert bpe.roundtrip_digests(docs.limit(0), vocabulary_path()).count() == 0
+
+
+def test_bpe_slices_change_nothing(spark, documents, monkeypatch):
+    enc = bpe.Encoder(bpe.load_vocabulary(vocabulary_path()))
+    texts = [t for t in documents.text[:60] if t] + ["a <|endoftext|> b" * 9, "  \n x" * 50, "\x1cab\x85 c"]
+    whole = [enc.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "SLICE", 7)
+    assert [enc.encode(t) for t in texts] == whole
+
+
+def test_bpe_holds_a_slice_of_a_long_text():
+    import tracemalloc
+
+    enc = bpe.Encoder(bpe.load_vocabulary(vocabulary_path()))
+    text = " ".join(f"word{i % 977}" for i in range(1_000_000))
+    enc.encode(text[:100_000])
+    tracemalloc.start()
+    n = sum(len(ids) for ids in enc.parts(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1_000_000 and peak < 8 << 20  # 8 MB, where the ids alone take more than that of a text of 9 MB
