@@ -32,8 +32,9 @@ def source_statement(capability: Column, modality: Column, variant: Column) -> C
 
 def tokens(text: Column) -> Column:
     """Lower-case words; contractions of not are spelled out."""
-    x = F.regexp_replace(F.lower(text), r"n['’]t", " not ")
-    x = F.regexp_replace(x, r"(^|[^a-z])cannot([^a-z]|$)", "$1can not$2")
+    x = F.regexp_replace(F.lower(text), r"(^|[^a-z])(cannot|can['’]t)([^a-z]|$)", "$1can not$3")
+    x = F.regexp_replace(x, r"(^|[^a-z])shan['’]t([^a-z]|$)", "$1shall not$2")
+    x = F.regexp_replace(x, r"n['’]t", " not ")
     return F.filter(F.split(x, "[^a-z]+"), lambda w: w != "")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalith.functions.stats import share
+from modalith.operators.order import row_number_within
 
 
 def auroc(rows: DataFrame, keys: list[str], label: Column, score: Column) -> DataFrame:
@@ -46,8 +47,8 @@ def macro_f1(rows: DataFrame, keys: list[str], gold: str, pred: str) -> DataFram
 
 def deferral(rows: DataFrame, keys: list[str], wrong: Column, uncertainty: Column, ties: list[Column], shares: tuple[float, ...] = (0.1, 0.2)) -> DataFrame:
     """(keys, q, coverage, error) after the share q of most uncertain rows, rounded up, is deferred."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumns({"_w": wrong.cast("double"), "_r": F.row_number().over(w.orderBy(uncertainty.desc(), *ties)), "_n": F.count("*").over(w)})
+    placed = rows.select(*keys, wrong.cast("double").alias("_w"), (-uncertainty).alias("_u"), *(t.alias(f"_t{i}") for i, t in enumerate(ties)))
+    ranked = row_number_within(placed, keys, ["_u", *(f"_t{i}" for i in range(len(ties)))], "_r", "_n")
     parts = []
     for q in shares:
         kept = F.col("_r") > F.ceil(F.col("_n") * q)
@@ -56,8 +57,3 @@ def deferral(rows: DataFrame, keys: list[str], wrong: Column, uncertainty: Colum
     for p in parts[1:]:
         out = out.union(p)
     return out
-
-
-def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return rows.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2)

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalith.functions.stats import draw
+from modalith.operators.order import row_number
 
 
 def cluster_sums(rows: DataFrame, cluster: str, sums: dict[str, Column]) -> DataFrame:
     """(i, <sums>): one row a cluster, numbered from 0 by name. All rows enter here; what follows is small."""
     per = rows.groupBy(F.col(cluster).alias("c")).agg(*(F.sum(e).alias(k) for k, e in sums.items()))
-    return per.withColumn("i", F.row_number().over(Window.orderBy("c")) - 1).drop("c")
+    return row_number(per, ["c"], "i").withColumn("i", F.col("i") - 1).drop("c")
 
 
 def bootstrap_weights(spark, n: int, draws: int, seed: str) -> DataFrame:

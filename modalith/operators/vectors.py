@@ -9,6 +9,8 @@ from modalith.functions.stats import draw
 
 #: Fixed values of the semantic score.
 DISTANCE_THRESHOLD, DISPERSION_WEIGHT = 0.35, 0.2
+#: The grid of settings whose scores are compared.
+THRESHOLDS, WEIGHTS = (0.10, 0.20, 0.35, 0.50, 0.70), (0.0, 0.1, 0.2, 0.3, 0.5, 1.0)
 CLUSTER_SCHEMA = "item long, threshold double, n long, clusters long, cluster_entropy double, mean_pairwise double, dominant_share double, dominant_mean double, dispersion double"
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from modalith.functions.stats import Rate, flag, r9, share
-from modalith.operators import metrics, resample, scores
+from modalith.operators import metrics, order, resample, scores
 from modalith.plans.registry import query
 from modalith.plans.text_queries import ANSWERS, READ, STRICT, answers
+from modalith.sources.session import checkpoint
 from modalith.sources.views import MODALITIES, ctes, frame
 
 LN4 = math.log(4)
@@ -168,9 +169,10 @@ def weak_gated(spark, sf):
 
 @query("length_terciles", ctes("v_scored") + " SELECT CAST(t AS BIGINT) AS tercile, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 9) AS rate, CAST(min(n_chars) AS BIGINT) AS shortest FROM (SELECT *, ntile(3) OVER (ORDER BY n_chars, doc_id) AS t FROM v_scored) GROUP BY 1")
 def length_terciles(spark, sf):
-    """Buckets of equal count need a total order; the scored set is one row a labelled document."""
-    t = F.ntile(3).over(Window.orderBy("n_chars", "doc_id"))
-    return frame(spark, sf, "v_scored").withColumn("t", t).groupBy(F.col("t").cast("long").alias("tercile")).agg(F.count("*").alias("n"), r9(F.avg(F.col("quality").cast("double"))).alias("rate"), F.min("n_chars").alias("shortest"))
+    """Buckets of equal count over a total order."""
+    rows = frame(spark, sf, "v_scored").select("n_chars", "doc_id", "quality").withColumn("all", F.lit(1))
+    t = order.equal_buckets(F.col("k"), F.col("n"), 3)
+    return order.row_number_within(rows, ["all"], ["n_chars", "doc_id"], "k", "n").groupBy(t.alias("tercile")).agg(F.count("*").alias("n"), r9(F.avg(F.col("quality").cast("double"))).alias("rate"), F.min("n_chars").alias("shortest"))
 
 
 MONO = ctes("v_answers") + ", s AS (SELECT seed_id, ordinal, avg(CASE WHEN decision = 'yes' THEN confidence ELSE 1 - confidence END) AS p FROM v_answers GROUP BY 1, 2), d AS (SELECT seed_id, lead(p) OVER (PARTITION BY seed_id ORDER BY ordinal DESC) - p AS up FROM s), x AS (SELECT seed_id, max(greatest(up, 0)) AS m FROM d WHERE up IS NOT NULL GROUP BY 1)"
@@ -189,7 +191,7 @@ def monotonicity(spark, sf):
 @query("corr_spearman", ctes("v_scored") + ", r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY length(source) * 1000 + quality * 10 + toxic) + (count(*) OVER (PARTITION BY length(source) * 1000 + quality * 10 + toxic) - 1) / 2.0::DOUBLE AS b, n_chars, quality FROM v_scored) SELECT round(corr(a, b), 9) AS spearman, round(corr(CAST(n_chars AS DOUBLE), CAST(quality AS DOUBLE)), 9) AS pearson FROM r")
 def corr_spearman(spark, sf):
     rows = frame(spark, sf, "v_scored").withColumn("other", F.char_length("source") * 1000 + F.col("quality") * 10 + F.col("toxic"))
-    ranked = metrics.average_ranks(metrics.average_ranks(rows, [], "n_chars", "a"), [], "other", "b")
+    ranked = order.average_ranks(order.average_ranks(rows.select("n_chars", "other", "quality"), "n_chars", "a"), "other", "b")
     return ranked.agg(r9(F.corr("a", "b")).alias("spearman"), r9(F.corr(F.col("n_chars").cast("double"), F.col("quality").cast("double"))).alias("pearson"))
 
 
@@ -396,7 +398,8 @@ def fold_summary(spark, sf):
     return f.agg(F.count("*").alias("folds"), r9(F.avg("v")).alias("mean"), r9(F.stddev_samp("v")).alias("sd"))
 
 
-DRAWS, SEED = 100, "20260518"
+#: Draws of every interval, and their seed.
+DRAWS, SEED = 1000, "20260518"
 
 
 def boot_sql(cluster: str, num: str, den: str, source: str) -> str:
@@ -408,7 +411,7 @@ def boot_sql(cluster: str, num: str, den: str, source: str) -> str:
 
 def interval(rows, cluster, num, den):
     """(rate, lo, hi): the point estimate and the 2.5 and 97.5 percentiles over draws of clusters."""
-    clusters = resample.cluster_sums(rows, cluster, {"num": num, "den": den}).persist()
+    clusters = checkpoint(resample.cluster_sums(rows, cluster, {"num": num, "den": den}))
     draws = resample.bootstrap_rates(clusters, "num", "den", DRAWS, SEED)
     ci = draws.agg(r9(F.percentile("rate", F.lit(0.025))).alias("lo"), r9(F.percentile("rate", F.lit(0.975))).alias("hi"))
     return clusters.agg(r9(share(F.sum("num"), F.sum("den"))).alias("rate")).join(ci)
@@ -418,18 +421,17 @@ CI = "SELECT round((SELECT sum(num) / sum(den) FROM c), 9) AS rate, round(quanti
 OVER = "CASE WHEN pred_ordinal > ordinal THEN 1 ELSE 0 END"
 
 
-@query("bootstrap_rate", ctes("v_answers") + boot_sql("source_modality || (l_partkey % 40)", OVER, "1", "v_answers") + CI)
+@query("bootstrap_rate", ctes("v_answers") + boot_sql("seed_id", OVER, "1", "v_answers") + CI)
 def bootstrap_rate(spark, sf):
-    rows = frame(spark, sf, "v_answers").withColumn("c", F.concat("source_modality", F.col("l_partkey") % 40))
-    return interval(rows, "c", flag(F.col("pred_ordinal") > F.col("ordinal")), F.lit(1))
+    return interval(frame(spark, sf, "v_answers"), "seed_id", flag(F.col("pred_ordinal") > F.col("ordinal")), F.lit(1))
 
 
-@query("bootstrap_dual", ctes("v_answers") + boot_sql("batch_id", OVER, "1", "v_answers") + ", c2 AS (SELECT 1) SELECT 'request' AS cluster_field, lo, hi FROM (" + CI + ") UNION ALL SELECT 'seed', lo, hi FROM (" + ctes("v_answers") + boot_sql("'s' || (l_partkey % 60)", OVER, "1", "v_answers") + CI + ")")
+@query("bootstrap_dual", ctes("v_answers") + boot_sql("batch_id", OVER, "1", "v_answers") + ", c2 AS (SELECT 1) SELECT 'request' AS cluster_field, lo, hi FROM (" + CI + ") UNION ALL SELECT 'seed', lo, hi FROM (" + ctes("v_answers") + boot_sql("seed_id", OVER, "1", "v_answers") + CI + ")")
 def bootstrap_dual(spark, sf):
     a = frame(spark, sf, "v_answers")
     hit = flag(F.col("pred_ordinal") > F.col("ordinal"))
     request = interval(a, "batch_id", hit, F.lit(1)).select(F.lit("request").alias("cluster_field"), "lo", "hi")
-    seed = interval(a.withColumn("c", F.concat(F.lit("s"), F.col("l_partkey") % 60)), "c", hit, F.lit(1)).select(F.lit("seed").alias("cluster_field"), "lo", "hi")
+    seed = interval(a, "seed_id", hit, F.lit(1)).select(F.lit("seed").alias("cluster_field"), "lo", "hi")
     return request.union(seed)
 
 

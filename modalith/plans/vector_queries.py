@@ -31,8 +31,8 @@ def semantic_clusters(spark, sf):
 @query("semantic_grid")
 def semantic_grid(spark, sf):
     """Scores for a grid of thresholds and weights from one distance matrix an item."""
-    c = vectors.semantic_clusters(frame(spark, sf, "v_vectors"), (0.25, 0.3, 0.35, 0.4, 0.45))
-    grid = c.withColumn("weight", F.explode(F.array(*(F.lit(w) for w in (0.0, 0.1, 0.2, 0.3, 0.4, 0.5)))))
+    c = vectors.semantic_clusters(frame(spark, sf, "v_vectors"), vectors.THRESHOLDS)
+    grid = c.withColumn("weight", F.explode(F.array(*(F.lit(w) for w in vectors.WEIGHTS))))
     return grid.groupBy("threshold", "weight").agg(F.count("*").alias("items"), r9(F.avg(vectors.semantic_score(F.col("weight")))).alias("mean_score"))
 
 
@@ -107,7 +107,7 @@ def char_ngrams(spark, sf):
 @query("auroc_bootstrap")
 def auroc_bootstrap(spark, sf):
     rows = frame(spark, sf, "v_scored")
-    b = vectors.bootstrap_auroc(rows, ["lang"], "source", F.col("quality"), {"length": F.col("n_chars"), "p": F.col("p"), "chars": F.char_length("source")}, 100, 20260518)
+    b = vectors.bootstrap_auroc(rows, ["lang"], "source", F.col("quality"), {"length": F.col("n_chars"), "p": F.col("p"), "chars": F.char_length("source")}, 1000, 20260518)
     return b.groupBy("lang", "score").agg(F.count("*").alias("draws"), r9(F.percentile("auroc", F.lit(0.025))).alias("lo"), r9(F.percentile("auroc", F.lit(0.975))).alias("hi"))
 
 

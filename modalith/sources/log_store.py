@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole URI of a path on its own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All-string rows with a declared header; nothing is inferred."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -65,8 +73,13 @@ def read_scores(spark: SparkSession, manifest: DataFrame, columns: list[str]) ->
     missing = [r.path for r in rows if not exists(spark, r.path)]
     if missing:
         raise FileNotFoundError(f"score files are missing: {missing}")
-    scores = read_csv(spark, [r.path for r in rows], columns).withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    tags = manifest.withColumn("_file", F.element_at(F.split("path", "/"), -1)).drop("path")
+    whole = {qualified(spark, r.path): r for r in rows}
+    if len(whole) < len(rows):
+        raise ValueError("the manifest lists a score file twice")
+    # a scan names files by their whole URI, so equal names in different runs' folders stay apart
+    plain = lambda p: re.sub("^([a-z0-9]+):/+", r"\1:/", p)  # noqa: E731  file:/x and file:///x are one
+    tags = spark.createDataFrame([(plain(p), *(r[c] for c in manifest.columns if c != "path")) for p, r in whole.items()], T.StructType([T.StructField("_file", T.StringType()), *(f for f in manifest.schema if f.name != "path")]))
+    scores = read_csv(spark, list(whole), columns).withColumn("_file", F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/+", "$1:/"))
     return scores.join(F.broadcast(tags), "_file").drop("_file")  # as many rows as runs were listed above
 
 

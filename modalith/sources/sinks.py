@@ -58,10 +58,13 @@ def write_if_changed(rows: DataFrame, path: str, candidate: str) -> bool:
     return True
 
 
-def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A report table; at most `limit` rows are fetched."""
+def markdown(rows: DataFrame, most: int = 100_000) -> str:
+    """A report table, whole; one of more than `most` rows is no report and an error."""
     head = rows.columns
-    body = [["" if v is None else str(v) for v in r] for r in rows.limit(limit).collect()]
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    body = [["" if v is None else str(v).replace("|", "\\|") for v in r] for r in found]
     return "\n".join("| " + " | ".join(cells) + " |" for cells in [head, ["---"] * len(head), *body])
 
 

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Where stream state and upserted tables go: the folder of spark.checkpoint.dir, a temporary one where unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="modalith-")) + f"/stream-{uuid.uuid4().hex}"
+from modalith.sources.session import new_folder
 
 
 def read_log(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
@@ -21,15 +15,22 @@ def read_log(spark: SparkSession, folder: str, pattern: str, schema) -> DataFram
 
 def run_counts(log: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by key over all that has arrived, from a stateful aggregation that runs until the source is drained."""
-    spark, name = log.sparkSession, f"counts_{uuid.uuid4().hex}"
-    q = log.groupBy(*keys).agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).start()
+    spark, folder = log.sparkSession, new_folder(log.sparkSession, "stream")
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/{number}")
+        last[:] = [number]
+
+    counts = log.groupBy(*keys).agg(F.count("*").alias("n"))
+    q = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/table/{last[0]}") if last else spark.createDataFrame([], counts.schema)
 
 
 def upsert_latest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The latest row of each key, merged batch by batch into a table of versions; a replayed batch changes nothing."""
-    spark, folder = log.sparkSession, shared_dir(log.sparkSession)
+    spark, folder = log.sparkSession, new_folder(log.sparkSession, "stream")
     rest = [c for c in log.columns if c not in key and c not in order]
     latest = lambda df: df.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("b")).select(*key, "b.*")
     seen: list[str] = []

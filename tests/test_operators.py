@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modalith.operators import graph, metrics, observe, resample, scores, vectors
+from modalith.operators import graph, metrics, observe, order, resample, scores, vectors
 from modalith.sources import log_store, sinks
 
 
@@ -63,12 +63,65 @@ def test_points_at_the_threshold_stay_apart():
 
 
 def test_cluster_entropy_is_over_observed_clusters():
-    rng = np.random.default_rng(20260527)
-    rng.normal(size=(3, 2))
-    d = vectors.cluster_diagnostics(rng.normal(size=(7, 5)), 0.35)
-    p = np.array([2] + [1] * 5) / 7
-    if d["clusters"] == 6:
-        assert math.isclose(d["cluster_entropy"], float(-(p * np.log(p)).sum() / np.log(6)))
+    d = vectors.cluster_diagnostics([[1, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]], 0.35)
+    p = np.array([2, 1, 1]) / 4
+    assert d["clusters"] == 3 and math.isclose(d["cluster_entropy"], float(-(p * np.log(p)).sum() / np.log(3)))
+
+
+def test_orders_without_one_task(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(v), i, "ab"[i % 2]) for i, v in enumerate(rng.integers(0, 20, 300))]
+    df = spark.createDataFrame(rows, "v int, i int, k string")
+    got = {r.i: r.n for r in order.row_number(df, ["v", "i"], "n").collect()}
+    assert got == {i: n for n, (_, i, _) in enumerate(sorted(rows), 1)}
+    within = {r.i: (r.n, r.c) for r in order.row_number_within(df, ["k"], ["v", "i"], "n", "c").collect()}
+    assert within == {i: (n, 150) for k in "ab" for n, (_, i, _) in enumerate(sorted(r for r in rows if r[2] == k), 1)}
+    ranks = {r.i: r.rank for r in order.average_ranks(df, "v", "rank").collect()}
+    values = [r[0] for r in rows]
+    assert all(math.isclose(ranks[i], sum(x < v for x in values) + (values.count(v) + 1) / 2) for v, i, _ in rows)
+    dealt = [r.b for r in spark.range(1, 12).select(order.equal_buckets(F.col("id"), F.lit(11), 3).alias("b")).collect()]
+    assert dealt == [1] * 4 + [2] * 4 + [3] * 3
+
+
+def test_request_clusters_are_the_components_of_pairs(spark):
+    from modalith.plans.observation_queries import request_components, request_pairs
+
+    pairs = request_pairs(spark, "/root/testdata/sf0.001").toPandas()
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in pairs.itertuples():
+        a, b = sorted((find(r.left_request), find(r.right_request)))
+        root[b] = a
+    got = request_components(spark, "/root/testdata/sf0.001").toPandas().set_index(["model", "item_id"]).cluster
+    assert len(got) == len(pairs) > 0
+    assert all(got[(r.model, r.item_id)] == find(r.left_request) == find(r.right_request) for r in pairs.itertuples())
+
+
+def test_request_clusters_fall_back_where_a_request_is_blank(spark):
+    df = spark.createDataFrame([("r1", "r2", "c1"), (" ", "r2", "c2")], "l string, r string, c string")
+    assert sorted(x.cluster for x in graph.request_clusters(df, "l", "r", "c").collect()) == ["c1", "c2"]
+
+
+def test_scores_of_runs_with_equal_file_names(spark, tmp_path):
+    for run, value in (("a", "1"), ("b", "2")):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "uq_scores.csv").write_text(f"item_id,score\ni1,{value}\n")
+    manifest = spark.createDataFrame([(str(tmp_path / r / "uq_scores.csv"), f"m-{r}") for r in "ab"], "path string, model string")
+    got = sorted((r.model, r.score) for r in log_store.read_scores(spark, manifest, ["item_id", "score"]).collect())
+    assert got == [("m-a", "1"), ("m-b", "2")]
+    with pytest.raises(FileNotFoundError):
+        log_store.read_scores(spark, spark.createDataFrame([(str(tmp_path / "c.csv"), "m")], "path string, model string"), ["item_id"])
+
+
+def test_markdown_is_whole_or_an_error(spark):
+    assert len(sinks.markdown(spark.range(1500).toDF("n")).splitlines()) == 1502
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(11).toDF("n"), most=10)
 
 
 def test_log_round_trip(spark, tmp_path):
