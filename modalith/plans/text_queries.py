@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from modalith.functions import parse
 from modalith.functions import text as tx
 from modalith.functions.stats import flag, r9, share
 from modalith.plans.registry import query
@@ -126,44 +127,62 @@ def text_bounds(spark, sf):
     return g.select("source_modality", "n", "readable", "unknown", "num", r9(share(c("num"), c("readable"))).alias("rate"), r9(share(c("num"), n)).alias("lower_bound"), r9(share(c("num") + c("unknown"), n)).alias("upper_bound"), r9(share(c("h"), n)).alias("heuristic_rate"), r9(share(c("g"), n)).alias("negated_rate"), r9(share(c("m"), n)).alias("multi_rate"), r9(share(c("c"), c("readable"))).alias("label_text_consistency"))
 
 
-@query("alias_normalise", ctes("v_samples") + " SELECT label, count(*) AS n FROM (SELECT CASE lower(trim(event_type)) WHEN 'view' THEN 'mandatory' WHEN 'click' THEN 'recommended' WHEN 'signup' THEN 'optional' WHEN 'purchase' THEN 'nice_to_have' ELSE 'other' END AS label FROM events) GROUP BY 1")
+@query("alias_normalise", """SELECT kind, value, CAST(name AS VARCHAR) AS name FROM (VALUES ('modality', ' SHOULD ', 'recommended'), ('modality', 'nice to have', 'nice_to_have'), ('modality', 'will', NULL), ('relation', 'stronger', 'strengthens'), ('relation', 'Same modality', 'preserves'),
+ ('relation', 'content mismatch', 'content_changed'), ('dataset', 'PURE', 'pure'), ('dataset', '', 'nice'), ('variant', 'Shall', 'shall'), ('item_context', '', 'bare'), ('item_context', ' Document ', 'document'), ('item_context', 'envelope', NULL), ('batch_order', 'separated', 'separated'), ('task', '2', 'task2')) AS t(kind, value, name)""")
 def alias_normalise(spark, sf):
-    aliases = {"view": "mandatory", "click": "recommended", "signup": "optional", "purchase": "nice_to_have"}
-    m = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-    return frame(spark, sf, "events").groupBy(F.coalesce(m[F.lower(F.trim("event_type"))], F.lit("other")).alias("label")).agg(F.count("*").alias("n"))
+    """Spellings of seven kinds of names; an unknown one is null here, and an error where it must be known."""
+    rows = [("modality", " SHOULD "), ("modality", "nice to have"), ("modality", "will"), ("relation", "stronger"), ("relation", "Same modality"), ("relation", "content mismatch"), ("dataset", "PURE"), ("dataset", ""), ("variant", "Shall"), ("item_context", ""), ("item_context", " Document "), ("item_context", "envelope"), ("batch_order", "separated"), ("task", "2")]
+    df = spark.createDataFrame(rows, "kind string, value string")
+    name = F.lit(None).cast("string")
+    for kind in parse.ALIASES:
+        name = F.when(F.col("kind") == kind, parse.normalise(kind, F.col("value"))).otherwise(name)
+    return df.select("kind", "value", name.alias("name"))
 
 
-RAW = "CASE kind WHEN 0 THEN 'Sure: {\"decision\": \"' || decision || '\", \"confidence\": ' || CAST(CAST(round(confidence * 100) AS INT) AS STRING) || '}' WHEN 1 THEN '{\"decision\": \"' || decision || '\"}' WHEN 2 THEN '{\"decision\": \"perhaps\", \"confidence\": 50}' WHEN 3 THEN '{\"decision\": \"no\", \"confidence\": 500}' WHEN 4 THEN 'I cannot say' WHEN 5 THEN '{\"decision\": \"no\", \"conf' WHEN 6 THEN '{\"decision\": \"no\", \"confidence\": 40, \"more\": 1}' WHEN 7 THEN '{\"decision\": \"no\", \"confidence\": \"40\"}' ELSE '{\"decision\": \"' || decision || '\", \"confidence\": ' || CAST(CAST(round(confidence * 100) AS INT) AS STRING) || '}' END"
+PERCENT = "CAST(CAST(round(confidence * 100) AS INT) AS STRING)"
+RAW = f"""CASE kind WHEN 0 THEN 'Sure: {{"decision": "' || decision || '", "confidence": ' || {PERCENT} || '}}' WHEN 1 THEN '{{"decision": "' || decision || '"}}' WHEN 2 THEN '{{"decision": "perhaps", "confidence": 50}}'
+ WHEN 3 THEN '{{"decision": "no", "confidence": 500}}' WHEN 4 THEN 'I cannot say' WHEN 5 THEN '{{"decision": "no", "conf' WHEN 6 THEN '{{"decision": "no", "confidence": 40, "more": 1}}' WHEN 7 THEN '{{"decision": "no", "confidence": "40"}}'
+ WHEN 8 THEN 'Of {{these}} I take {{"decision": "' || decision || '", "confidence": ' || {PERCENT} || ', "brief_reason": "has }} and {{ inside"}} and no more {{}}' WHEN 9 THEN '' WHEN 11 THEN '{{"decision": "no", "confidence": true}}' ELSE '{{"decision": "' || decision || '", "confidence": ' || {PERCENT} || '}}' END"""
 
 
 def responses(spark, sf) -> DataFrame:
-    """Raw model outputs made of answers, with the outermost JSON object found in the prose around it."""
-    rows = frame(spark, sf, "v_answers").withColumn("raw", F.expr(RAW))
-    body = F.nullif(F.regexp_extract("raw", r"(?s)(\{.*\})", 1), F.lit(""))
-    parsed = F.from_json(body, "decision string, confidence string")
-    return rows.withColumns({"body": body, "j": parsed, "v": F.try_parse_json(body)})
-
-
-def response_status():
-    conf = F.col("j.confidence").try_cast("double")
-    opened = F.contains(F.col("raw"), F.lit("{"))
-    return (
-        F.when(F.col("v").isNull() & opened, "truncated").when(F.col("v").isNull(), "invalid_json").when(F.col("j.decision").isNull() | F.col("j.confidence").isNull(), "missing_fields")
-        .when(~F.lower("j.decision").isin("yes", "no"), "invalid_label").when(conf.isNull() | (conf < 0) | (conf > 100), "invalid_confidence").otherwise("ok")
-    )
+    """Raw model outputs made of answers, read by the parser."""
+    rows = frame(spark, sf, "v_answers").withColumn("raw", F.expr(RAW)).withColumns({"error": F.when(F.col("kind") == 9, "timeout"), "rejected": F.col("kind") == 10})
+    return parse.with_response(rows.drop("status"), "task1", error="error", rejected="rejected")
 
 
-@query("parse_status", ctes("v_answers") + " SELECT CASE kind WHEN 1 THEN 'missing_fields' WHEN 2 THEN 'invalid_label' WHEN 3 THEN 'invalid_confidence' WHEN 4 THEN 'invalid_json' WHEN 5 THEN 'truncated' ELSE 'ok' END AS parse_status, count(*) AS n FROM v_answers GROUP BY 1")
+@query("parse_status", ctes("v_answers") + " SELECT CASE kind WHEN 1 THEN 'missing_fields' WHEN 2 THEN 'invalid_label' WHEN 3 THEN 'invalid_confidence' WHEN 4 THEN 'invalid_json' WHEN 5 THEN 'truncated' WHEN 9 THEN 'request_error' WHEN 10 THEN 'model_output_error' WHEN 11 THEN 'invalid_confidence' ELSE 'ok' END AS parse_status, count(*) AS n, round(avg(CASE WHEN kind IN (0, 8) THEN round(confidence * 100) WHEN kind IN (6, 7) THEN 40 END), 9) AS mean_confidence FROM v_answers GROUP BY 1")
 def parse_status(spark, sf):
-    return responses(spark, sf).groupBy(response_status().alias("parse_status")).agg(F.count("*").alias("n"))
+    return responses(spark, sf).groupBy(F.col("status").alias("parse_status")).agg(F.count("*").alias("n"), r9(F.avg(F.when(F.col("status") == "ok", F.col("conf")))).alias("mean_confidence"))
 
 
-@query("parse_repairs", ctes("v_answers") + " SELECT concat_ws(';', CASE WHEN kind = 0 THEN 'prose_wrapper' END, CASE WHEN kind = 6 THEN 'unexpected_fields' END, CASE WHEN kind = 7 THEN 'coerced_text' END) AS repairs, count(*) AS n FROM v_answers WHERE kind NOT IN (1, 2, 3, 4, 5) GROUP BY 1")
+@query("parse_repairs", ctes("v_answers") + " SELECT concat_ws(';', CASE WHEN kind IN (0, 8) THEN 'prose_wrapper' END, CASE WHEN kind = 6 THEN 'unexpected_fields' END, CASE WHEN kind = 7 THEN 'coerced_text' END) AS repairs, count(*) AS n FROM v_answers WHERE kind IN (0, 6, 7, 8) GROUP BY 1")
 def parse_repairs(spark, sf):
-    rows = responses(spark, sf).where(response_status() == "ok")
-    keys = F.json_object_keys("body")
-    found = F.concat_ws(";", F.when(F.trim("raw") != F.col("body"), "prose_wrapper"), F.when(F.size(F.array_except(keys, F.array(F.lit("decision"), F.lit("confidence")))) > 0, "unexpected_fields"), F.when(F.schema_of_variant(F.try_variant_get("v", "$.confidence", "variant")) == "STRING", "coerced_text"))
-    return rows.groupBy(found.alias("repairs")).agg(F.count("*").alias("n"))
+    return responses(spark, sf).where("status = 'ok'").groupBy(parse.repairs("task1").alias("repairs")).agg(F.count("*").alias("n"))
+
+
+STRICT_RAW = """CASE kind WHEN 0 THEN '{"decision":"yes","confidence":0.5,"brief_reason":"r"}' WHEN 1 THEN '{"decision":"yes","confidence":"0.5","brief_reason":"r"}' WHEN 2 THEN '{"decision":"yes","confidence":true,"brief_reason":"r"}' WHEN 3 THEN '{"decision":"yes","confidence":1.5,"brief_reason":"r"}'
+ WHEN 4 THEN '{"decision":"yes","confidence":0.5}' WHEN 5 THEN '{"decision":"yes","confidence":0.5,"brief_reason":"r","x":1}' WHEN 6 THEN '{"decision":"maybe","confidence":0.5,"brief_reason":"r"}' WHEN 7 THEN 'none' WHEN 8 THEN '{"decision":"no","confidence":0.5,"brief_reason":"' || repeat('r', 201) || '"}'
+ WHEN 9 THEN '[1]' WHEN 10 THEN '{"decision":"no","confidence":1,"brief_reason":""}' ELSE '{"decision":"Yes","confidence":2,"brief_reason":5}' END"""
+
+
+@query("contract_check", ctes("v_answers") + " SELECT CASE kind WHEN 1 THEN 'type:confidence' WHEN 2 THEN 'type:confidence' WHEN 3 THEN 'range:confidence' WHEN 4 THEN 'missing:brief_reason' WHEN 5 THEN 'extra:x' WHEN 6 THEN 'label:decision' WHEN 7 THEN 'not an object' WHEN 8 THEN 'length:brief_reason' WHEN 9 THEN 'not an object' WHEN 11 THEN 'label:decision;range:confidence;type:brief_reason' ELSE '' END AS issues, count(*) AS n FROM v_answers GROUP BY 1")
+def contract_check(spark, sf):
+    rows = frame(spark, sf, "v_answers").withColumn("raw", F.expr(STRICT_RAW))
+    return rows.groupBy(F.array_join(parse.contract_issues(F.col("raw"), "task1"), ";").alias("issues")).agg(F.count("*").alias("n"))
+
+
+@query("provider_schemas", """SELECT task, batched, CASE WHEN batched THEN '{"type":"object","properties":{"results":{"type":"array","items":' ELSE '' END || '{"type":"object","properties":{' || CASE WHEN batched THEN '"request_index":{"type":"integer"},' ELSE '' END || body || '},"required":[' || CASE WHEN batched THEN '"request_index",' ELSE '' END || names || '],"additionalProperties":false}' || CASE WHEN batched THEN '}},"required":["results"],"additionalProperties":false}' ELSE '' END AS schema
+ FROM (VALUES ('task1', '"decision":{"type":"string","enum":["yes","no"]},"confidence":{"type":"number","minimum":0,"maximum":1},"brief_reason":{"type":"string","maxLength":200}', '"decision","confidence","brief_reason"'),
+ ('task2', '"requirement":{"type":"string"},"modality":{"type":"string","enum":["mandatory","recommended","optional","nice_to_have"]},"confidence":{"type":"number","minimum":0,"maximum":1}', '"requirement","modality","confidence"')) AS t(task, body, names), (VALUES (false), (true)) AS b(batched)""")
+def provider_schemas(spark, sf):
+    return spark.createDataFrame([(t, b, parse.provider_schema(t, b)) for t in ("task1", "task2") for b in (False, True)], "task string, batched boolean, schema string")
+
+
+@query("semantic_texts", ctes("v_answers") + " SELECT source_modality, count(DISTINCT CASE WHEN kind % 2 = 0 THEN 'modality: ' || pred_modality || chr(10) ELSE '' END || 'requirement: ' || requirement) AS n_texts, min('requirement: ' || requirement) FILTER (kind % 2 = 1) AS first_text FROM v_answers GROUP BY 1")
+def semantic_texts(spark, sf):
+    t = parse.semantic_text(F.col("requirement"), F.when(F.col("kind") % 2 == 0, F.col("pred_modality")))
+    return frame(spark, sf, "v_answers").groupBy("source_modality").agg(F.count_distinct(t).alias("n_texts"), F.min(F.when(F.col("kind") % 2 == 1, t)).alias("first_text"))
 
 
 @query("json_contract", "SELECT count(*) FILTER (json_type(props, '$.k') IN ('UBIGINT', 'BIGINT')) AS n_ok, count(*) FILTER (json_type(props, '$.k') IS NULL) AS n_missing, count(*) FILTER (json_type(props, '$.k') NOT IN ('UBIGINT', 'BIGINT')) AS n_bad_type, count(*) FILTER (len(json_keys(props)) > 1) AS n_extra, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM events")
@@ -195,11 +214,19 @@ def gold_relation(spark, sf):
     return frame(spark, sf, "v_answers").groupBy(F.when(d > 0, "strengthens").when(d < 0, "weakens").otherwise("preserves").alias("relation")).agg(F.count("*").alias("n"))
 
 
-@query("length_fields", ctes("v_answers") + " SELECT source_modality, CAST(sum(len(regexp_split_to_array(trim(requirement), '\\s+'))) AS BIGINT) AS words, round(avg(len(regexp_split_to_array(trim(requirement), '\\s+')) / 8.0::DOUBLE), 9) AS mean_ratio, count(*) FILTER (l_orderkey % 500 < 250) AS n_tokens_known FROM v_answers GROUP BY 1")
+WORDS = "len(regexp_split_to_array(trim({x}), '\\s+'))"
+
+
+@query("length_fields", ctes("v_answers", "v_items") + f", w AS (SELECT a.source_modality, CASE WHEN a.kind = 2 THEN 11 ELSE {WORDS.format(x='requirement')} END AS words, {WORDS.format(x='source_statement')} AS source_words, CASE WHEN l_orderkey % 500 < 250 THEN {WORDS.format(x='requirement')} END AS tokens FROM v_answers a JOIN v_items i USING (item_id)) SELECT source_modality, CAST(sum(words) AS BIGINT) AS words, round(avg(words / source_words), 9) AS mean_ratio, count(tokens) AS n_tokens_known, count(*) AS n FROM w GROUP BY 1")
 def length_fields(spark, sf):
-    n = tx.word_count(F.col("requirement"))
-    tokens = F.when(F.regexp_extract("batch_id", r"B(\d+)", 1).cast("int") < 250, n)  # blank for requests with several items
-    return frame(spark, sf, "v_answers").groupBy("source_modality").agg(F.sum(n).alias("words"), r9(F.avg(n / F.lit(8.0))).alias("mean_ratio"), F.count(tokens).alias("n_tokens_known"))
+    """Word counts and their ratio to the source's; a count that the runner recorded wins over ours. Tokens are blank for
+    requests with several items."""
+    recorded = F.when(F.col("kind") == 2, F.lit(11))
+    n = F.coalesce(recorded, tx.word_count(F.col("requirement")))
+    tokens = F.when(F.regexp_extract("batch_id", r"B(\d+)", 1).cast("int") < 250, tx.word_count(F.col("requirement")))
+    items = frame(spark, sf, "v_items").select("item_id", tx.word_count(F.col("source_statement")).alias("source_words"))
+    rows = frame(spark, sf, "v_answers").select("item_id", "source_modality", n.cast("long").alias("words"), tokens.alias("tokens")).join(items, "item_id")
+    return rows.groupBy("source_modality").agg(F.sum("words").alias("words"), r9(F.avg(F.col("words") / F.col("source_words"))).alias("mean_ratio"), F.count("tokens").alias("n_tokens_known"), F.count("*").alias("n"))
 
 
 @query("ratio_parse", "SELECT count(*) AS n, round(sum(l_tax * 100 / 100), 6) AS total, count(*) FILTER (l_linenumber = 1) AS n_true FROM lineitem")
@@ -232,6 +259,15 @@ def prompt_digest(spark, sf):
     return frame(spark, sf, "v_items").groupBy("source_modality").agg(F.count_distinct(d).alias("n_prompts"), F.min(d).alias("first_digest"))
 
 
+@query("batch_prompts", ctes("v_items") + """, b AS (SELECT seed_id, 'Classify each item and answer by its number.' || chr(10) || string_agg('[' || (4 - ordinal) || '] ' || source_statement, chr(10) ORDER BY ordinal DESC) AS prompt FROM v_items GROUP BY 1) SELECT seed_id, sha256(prompt) AS payload_sha, sha256('{"api_key":"***","model":"m1","prompt_sha":"' || sha256(prompt) || '"}') AS job_config_sha FROM b""")
+def batch_prompts(spark, sf):
+    """A seed's four statements as one request, its payload's digest, and that of its settings with credentials masked."""
+    g = frame(spark, sf, "v_items").groupBy("seed_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("ordinal")).alias("o"), "source_statement"))).alias("s"))
+    sha = F.sha2(parse.batch_prompt(F.col("s.source_statement")), 256)
+    config = F.to_json(F.struct(F.concat(F.lit("k-"), F.col("seed_id")).alias("api_key"), F.lit("m1").alias("model"), F.col("payload_sha").alias("prompt_sha")))
+    return g.select("seed_id", sha.alias("payload_sha")).withColumn("job_config_sha", F.sha2(parse.masked(config), 256))
+
+
 @query("drift_status", ANSWERS + f" SELECT CASE WHEN {STRICT} THEN 'strict_oc' WHEN coalesce(gen > ordinal, false) THEN 'broad_only' ELSE 'clean' END AS drift_status, count(*) AS n FROM a GROUP BY 1")
 def drift_status(spark, sf):
     s = F.when(F.col("strict_text_overcommit"), "strict_oc").when(F.col("text_overcommit"), "broad_only").otherwise("clean")
