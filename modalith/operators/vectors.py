@@ -28,6 +28,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+def padded(v: Column, width: int) -> Column:
+    """v at a width: what is beyond it cut off, what is missing zero."""
+    return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), width)), 1, width)
+
+
 def pair_distances(rows: DataFrame, group: str, key: str, vector: str) -> DataFrame:
     """(group, i, j, distance) for i < j within each group, which is one item's samples."""
     left = rows.select(group, F.col(key).alias("i"), doubles(F.col(vector)).alias("a"))

@@ -58,10 +58,16 @@ def read_log(spark: SparkSession, compacted: str | None, tail: str | None, schem
     return out.select(*[c for c in columns if c in out.columns]) if columns else out
 
 
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def read_trees(spark: SparkSession, paths: list[str], reader) -> DataFrame:
-    """Several trees of one kind, in order, each row with the number of its tree."""
+    """Several trees of one kind, in order, each row with the number of its tree; a tree may be missing, but not all."""
     out = None
     for i, p in enumerate(paths):
+        if not exists(spark, p):
+            continue
         part = reader(spark, p).withColumn("tree", F.lit(i))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
@@ -79,15 +85,33 @@ def read_scores(spark: SparkSession, manifest: DataFrame, columns: list[str]) ->
     # a scan names files by their whole URI, so equal names in different runs' folders stay apart
     plain = lambda p: re.sub("^([a-z0-9]+):/+", r"\1:/", p)  # noqa: E731  file:/x and file:///x are one
     tags = spark.createDataFrame([(plain(p), *(r[c] for c in manifest.columns if c != "path")) for p, r in whole.items()], T.StructType([T.StructField("_file", T.StringType()), *(f for f in manifest.schema if f.name != "path")]))
-    scores = read_csv(spark, list(whole), columns).withColumn("_file", F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/+", "$1:/"))
+    # a listed path is a file, or the folder that one writer's files are in
+    file = F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/+", "$1:/")
+    listed = F.array(*(F.lit(plain(p)) for p in whole))
+    scores = read_csv(spark, list(whole), columns).withColumn("_file", file).withColumn("_file", F.when(F.array_contains(listed, F.col("_file")), F.col("_file")).otherwise(F.regexp_replace("_file", "/[^/]+$", "")))
     return scores.join(F.broadcast(tags), "_file").drop("_file")  # as many rows as runs were listed above
 
 
+REQUIREMENT = "struct<_id:string,_marker:string,section:array<string>,text_body:string>"
+
+
+def _requirement(r: Column) -> list[Column]:
+    marker = F.coalesce(F.trim(r["_marker"]), F.lit(""))
+    marks = F.size(F.filter(F.split(marker, r"[,;/ ]+"), lambda m: m != ""))
+    section = F.array_join(F.coalesce(r["section"], F.array().cast("array<string>")), " > ")
+    return [r["_id"].alias("requirement_id"), marker.alias("marker"), marks.alias("marker_count"), section.alias("section"), F.trim(F.regexp_replace(r["text_body"], r"\s+", " ")).alias("text")]
+
+
 def read_requirements(spark: SparkSession, path: str, row_tag: str = "req") -> DataFrame:
-    """Requirement nodes of XML documents: (id, marker, text)."""
-    schema = "_id string, _marker string, text_body string"
-    rows = spark.read.schema(schema).option("rowTag", row_tag).xml(path)
-    return rows.select(F.col("_id").alias("requirement_id"), F.coalesce("_marker", F.lit("")).alias("marker"), F.trim(F.regexp_replace("text_body", r"\s+", " ")).alias("text"))
+    """Requirement nodes of XML files: (id, marker, number of markers, section path, text)."""
+    rows = spark.read.schema(T.StructType.fromDDL(REQUIREMENT[7:-1])).option("rowTag", row_tag).xml(path)
+    return rows.select(F.struct("*").alias("r")).select(*_requirement(F.col("r")))
+
+
+def requirements_of(documents: DataFrame, xml: str, keep: list[str], row_tag: str = "req") -> DataFrame:
+    """As read_requirements(), from a column of XML documents, with the columns `keep` of each."""
+    parsed = F.from_xml(F.col(xml), f"`{row_tag}` array<{REQUIREMENT}>")
+    return documents.select(*keep, F.explode(parsed[row_tag]).alias("r")).select(*keep, *_requirement(F.col("r")))
 
 
 def canonical_row(*columns: str) -> Column:

@@ -157,4 +157,4 @@ def test_sinks(spark, tmp_path):
 def test_requirements_from_xml(spark, tmp_path):
     (tmp_path / "d.xml").write_text('<doc><req id="1" marker="M"><text_body>The  system\nshall x.</text_body></req><req id="2"><text_body>y</text_body></req></doc>')
     rows = log_store.read_requirements(spark, str(tmp_path / "d.xml")).orderBy("requirement_id").collect()
-    assert [tuple(r) for r in rows] == [("1", "M", "The system shall x."), ("2", "", "y")]
+    assert [tuple(r) for r in rows] == [("1", "M", 1, "", "The system shall x."), ("2", "", 0, "", "y")]
