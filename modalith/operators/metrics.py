@@ -57,3 +57,13 @@ def deferral(rows: DataFrame, keys: list[str], wrong: Column, uncertainty: Colum
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+def monotonicity(rows: DataFrame, keys: list[str], seed: str, ordinal: str, p: Column, tolerance: float = 0.05) -> DataFrame:
+    """(keys, monotonicity_*): how often and how far p rises as the modality weakens, by the largest rise of each seed.
+    1e-9 stands against rounding."""
+    s = rows.groupBy(*keys, seed, ordinal).agg(F.avg(p).alias("p"))
+    up = F.lead("p").over(Window.partitionBy(*keys, seed).orderBy(F.desc(ordinal))) - F.col("p")  # a row a modality
+    x = s.withColumn("up", up).where("up IS NOT NULL").groupBy(*keys, seed).agg(F.max(F.greatest("up", F.lit(0.0))).alias("m"))
+    m = F.col("m")
+    return x.groupBy(*keys).agg(F.count_if(m > tolerance + 1e-9).alias("monotonicity_violations"), F.count_if(m > 1e-9).alias("monotonicity_strict_violations"), (F.round(F.avg(m), 9) + F.lit(0.0)).alias("monotonicity_mean_max_increase"), (F.round(F.max(m), 9) + F.lit(0.0)).alias("monotonicity_max_increase"))

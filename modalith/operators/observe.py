@@ -55,3 +55,13 @@ def id_difference(expected: DataFrame, observed: DataFrame, key: str) -> DataFra
     """(side, key): identifiers that only one side has."""
     e, o = expected.select(key).distinct(), observed.select(key).distinct()
     return e.join(o, key, "left_anti").select(F.lit("missing").alias("side"), key).union(o.join(e, key, "left_anti").select(F.lit("extra").alias("side"), key))
+
+
+def exact_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with right's columns; an id that either side lacks or repeats is an error, told by their number."""
+    side = lambda df, n: df.groupBy(key).agg(F.count("*").alias(n))
+    both = side(left, "a").join(side(right, "b"), key, "full_outer")
+    wrong = both.agg(F.count_if(F.col("b").isNull()).alias("missing"), F.count_if(F.col("a").isNull()).alias("unknown"), F.count_if((F.col("a") > 1) | (F.col("b") > 1)).alias("repeated")).first().asDict()
+    if any(wrong.values()):
+        raise ValueError(f"ids must match exactly once: {wrong}")
+    return left.join(right, key)

@@ -46,3 +46,9 @@ def equal_buckets(number: Column, total: Column, buckets: int) -> Column:
     size, extra = F.floor(total / buckets), total % buckets
     longer = extra * (size + 1)
     return F.when(number <= longer, F.ceil(number / (size + 1))).otherwise(extra + F.ceil((number - longer) / size)).cast("long")
+
+
+def display_position(name: Column, known: list[str]) -> Column:
+    """The place of a name in a given order, and one place behind all for others."""
+    at = F.array_position(F.array(*map(F.lit, known)), name)
+    return F.when(at > 0, at).otherwise(len(known) + 1)

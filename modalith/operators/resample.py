@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalith.functions.stats import draw
-from modalith.operators.order import row_number
+from modalith.operators.order import row_number, row_number_within
 
 
 def cluster_sums(rows: DataFrame, cluster: str, sums: dict[str, Column]) -> DataFrame:
@@ -29,6 +29,26 @@ def bootstrap_rates(clusters: DataFrame, num: str, den: str, draws: int, seed: s
     return per.where("d > 0").select("b", (F.col("n") / F.col("d")).alias("rate"))
 
 
+def rate_intervals(clusters: DataFrame, keys: list[str], cluster: str, num: str, den: str, draws: int, seed: str, level: float = 0.95) -> DataFrame:
+    """(keys, ci_low, ci_high): an interval for each row of a table, from draws of its own clusters.
+
+    clusters: one row a (keys, cluster) with the sums num and den. All rows are resampled in one plan: a slot of a draw
+    takes a cluster by md5, and slots are counted before they meet their cluster's sums."""
+    numbered = row_number_within(clusters, keys, [cluster], "i", "m").withColumn("i", F.col("i") - 1)
+    sizes = numbered.select(*keys, "m").distinct()
+    slots = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    taken = slots.select(*keys, "b", (draw(seed, F.col("b"), F.col("j")) % F.col("m")).alias("i")).groupBy(*keys, "b", "i").agg(F.count("*").alias("w"))
+    rates = taken.join(numbered, [*keys, "i"]).groupBy(*keys, "b").agg(F.sum(F.col("w") * F.col(num)).alias("n"), F.sum(F.col("w") * F.col(den)).alias("d")).where("d > 0")
+    tail = (1 - level) / 2
+    ends = [(F.round(F.percentile(F.col("n") / F.col("d"), F.lit(q)), 9) + F.lit(0.0)).alias(k) for k, q in (("ci_low", tail), ("ci_high", 1 - tail))]
+    return rates.groupBy(*keys).agg(*ends)
+
+
+def attach(table: DataFrame, intervals: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """table with the interval of each row as <prefix>_ci_low and <prefix>_ci_high, blank where it has none."""
+    return table.join(intervals.withColumnsRenamed({c: f"{prefix}_{c}" for c in ("ci_low", "ci_high")}), keys, "left")
+
+
 def capped(rows: DataFrame, group: str, order: list[Column], cap: int, total: int) -> DataFrame:
     """At most `cap` rows of each group and `total` in all, the first by `order`."""
     first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_k") <= cap)

@@ -63,6 +63,36 @@ def methods(shares: DataFrame, keys: list[str], plan: int = 1) -> DataFrame:
     return out.select(*keys, "r.uq_method", "r.uncertainty_score", "valid_n", F.col("t").alias("total_n"), (F.col("t") - F.col("valid_n")).alias("parse_failures"), (F.col("t") == F.col("valid_n")).alias("stochastic_complete"), F.col("m").alias("pred_modality"))
 
 
+def build(observed: DataFrame, keys: list[str], item: list[str], model: str, order: list[str], plan: int | None, min_valid: int = 1, semantic: DataFrame | None = None, infer: bool = False) -> DataFrame:
+    """(keys, uq_method, uncertainty_score, pred_modality, valid_n, total_n, parse_failures, stochastic_complete,
+    sampling_plan_source) from observations that were de-duplicated before.
+
+    observed: keys, model, sample_kind, label (null where the answer wasn't read), confidence. Deterministic answers
+    give verbalized_confidence; groups of at least min_valid read samples give the sampled methods, and the semantic
+    one where `semantic` (keys, semantic_score) has the group; items with labels of two models or more give the
+    ensemble's. plan: samples planned for an item; without one, only infer=True takes what was observed for it."""
+    if plan is None and not infer:
+        raise ValueError("a sampling plan is needed; infer=True would take it from the observations")
+    source = "inferred" if plan is None else "planned"
+    one = F.lit(1).cast("long")
+    det = observed.where("sample_kind = 'deterministic' AND label IS NOT NULL")
+    columns = ["uq_method", "uncertainty_score", "pred_modality", "valid_n", "total_n", "parse_failures", "stochastic_complete"]
+    verbal = det.select(*keys, F.lit("verbalized_confidence"), 1 - F.col("confidence"), "label", one, one, F.lit(0).cast("long"), F.lit(None).cast("boolean")).toDF(*keys, *columns)
+
+    groups = label_shares(observed.where("sample_kind = 'stochastic'"), keys).where(F.col("valid_n") >= max(1, min_valid))
+    sampled = methods(groups, keys, plan or 1).select(*keys, *columns)
+    out = verbal.unionByName(sampled)
+    if semantic is not None:
+        base = sampled.where("uq_method = 'variation_ratio'").drop("uq_method", "uncertainty_score")
+        out = out.unionByName(base.join(semantic, keys).withColumns({"uq_method": F.lit("acse_semantic_entropy"), "uncertainty_score": F.col("semantic_score")}).select(*keys, *columns))
+
+    # one label a model, its latest
+    each = det.groupBy(*item, model).agg(F.max(F.struct(*order, "label")).alias("b")).select(*item, F.col("b.label").alias("label"))
+    views = label_shares(each, item).where("valid_n >= 2")
+    ensemble = views.select(*item, F.lit("model_ensemble_disagreement").alias("uq_method"), (1 - majority_share()).alias("uncertainty_score"), majority().alias("pred_modality"), "valid_n", "total_n", F.lit(0).cast("long").alias("parse_failures"), F.lit(None).cast("boolean").alias("stochastic_complete"))
+    return out.unionByName(ensemble, allowMissingColumns=True).withColumn("sampling_plan_source", F.lit(source))
+
+
 def min_max(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """value scaled to [0, 1] within its group; 0 where the group is constant."""
     stats = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

@@ -59,6 +59,8 @@ SELECT *, CASE kind
   CASE WHEN kind < 8 THEN ordinal ELSE 3 - (l_partkey + kind) % 4 END AS pred_ordinal,
   CASE WHEN (l_partkey + kind) % 5 = 0 THEN 'yes' ELSE 'no' END AS decision
 FROM {{v_attempts}} WHERE status = 'ok'""",
+    "v_observed": f"""
+SELECT *, CASE WHEN status <> 'ok' THEN NULL WHEN kind < 8 THEN source_modality ELSE {_label('(l_partkey + kind) % 4')} END AS label FROM {{v_attempts}}""",
     "v_samples": """
 SELECT event_id AS sample_id, 'I' || lpad(CAST(user_id AS STRING), 5, '0') AS item_id, user_id % 3 AS model_no, event_type, value, ts, props,
   CASE event_type WHEN 'view' THEN 'mandatory' WHEN 'click' THEN 'recommended' WHEN 'signup' THEN 'optional' WHEN 'purchase' THEN 'nice_to_have' END AS label
