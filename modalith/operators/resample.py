@@ -29,15 +29,37 @@ def bootstrap_rates(clusters: DataFrame, num: str, den: str, draws: int, seed: s
     return per.where("d > 0").select("b", (F.col("n") / F.col("d")).alias("rate"))
 
 
+def drawn(clusters: DataFrame, keys: list[str], cluster: str, draws: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(clusters with their number i and their keys' count m, (keys, b, i, w)): how often draw b of the keys takes cluster
+    i. A slot of a draw takes a cluster by md5."""
+    numbered = row_number_within(clusters, keys, [cluster], "i", "m").withColumn("i", F.col("i") - 1)
+    sizes = numbered.select(*keys, "m").distinct()
+    slots = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    return numbered, slots.select(*keys, "b", (draw(seed, F.col("b"), F.col("j")) % F.col("m")).alias("i")).groupBy(*keys, "b", "i").agg(F.count("*").alias("w"))
+
+
+def bootstrap_auroc(rows: DataFrame, keys: list[str], cluster: str, label: Column, scores: dict[str, Column], draws: int, seed: str) -> DataFrame:
+    """(keys, score, b, auroc): the same draws of clusters for every score; draws with one class only are left out.
+
+    Ranks are not additive, so each draw ranks anew, on sums by distinct score; a draw is a partition of its own, and no
+    task gets more than one draw of a row."""
+    named = F.array(*(F.struct(F.lit(k).alias("score"), v.cast("double").alias("s")) for k, v in scores.items()))
+    slim = rows.select(*keys, F.col(cluster).alias("c"), label.cast("long").alias("y"), F.explode(named).alias("x")).select(*keys, "c", "y", "x.*").where("s IS NOT NULL")
+    slim = slim.groupBy(*keys, "c", "score", "s").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    numbered, taken = drawn(rows.select(*keys, F.col(cluster).alias("c")).distinct(), keys, "c", draws, seed)
+    by = slim.join(numbered.drop("m"), [*keys, "c"]).join(taken, [*keys, "i"]).groupBy(*keys, "score", "b", "s").agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * (F.col("n") - F.col("pos"))).alias("neg"))
+    below = Window.partitionBy(*keys, "score", "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = by.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    out = ranked.groupBy(*keys, "score", "b").agg(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    return out.where("p > 0 AND q > 0").select(*keys, "score", "b", (F.col("wins") / (F.col("p") * F.col("q"))).alias("auroc"))
+
+
 def rate_intervals(clusters: DataFrame, keys: list[str], cluster: str, num: str, den: str, draws: int, seed: str, level: float = 0.95) -> DataFrame:
     """(keys, ci_low, ci_high): an interval for each row of a table, from draws of its own clusters.
 
     clusters: one row a (keys, cluster) with the sums num and den. All rows are resampled in one plan: a slot of a draw
     takes a cluster by md5, and slots are counted before they meet their cluster's sums."""
-    numbered = row_number_within(clusters, keys, [cluster], "i", "m").withColumn("i", F.col("i") - 1)
-    sizes = numbered.select(*keys, "m").distinct()
-    slots = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    taken = slots.select(*keys, "b", (draw(seed, F.col("b"), F.col("j")) % F.col("m")).alias("i")).groupBy(*keys, "b", "i").agg(F.count("*").alias("w"))
+    numbered, taken = drawn(clusters, keys, cluster, draws, seed)
     rates = taken.join(numbered, [*keys, "i"]).groupBy(*keys, "b").agg(F.sum(F.col("w") * F.col(num)).alias("n"), F.sum(F.col("w") * F.col(den)).alias("d")).where("d > 0")
     tail = (1 - level) / 2
     ends = [(F.round(F.percentile(F.col("n") / F.col("d"), F.lit(q)), 9) + F.lit(0.0)).alias(k) for k, q in (("ci_low", tail), ("ci_high", 1 - tail))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modalith.functions.stats import draw
@@ -130,53 +130,13 @@ def char_ngrams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     return F.concat(*map(cut, sizes))
 
 
-def bootstrap_auroc(rows: DataFrame, keys: list[str], cluster: str, label: Column, scores: dict[str, Column], draws: int, seed: int, blocks: int = 8) -> DataFrame:
-    """(keys, score, draw, auroc): the same draws of clusters for every score column.
-
-    Ranks are not additive, so a slice's rows go to the tasks of its draw blocks; rows are first reduced to counts by
-    (slice, cluster, scores, label), and clusters take the order in which their names sort."""
-    names = list(scores)
-    slim = rows.select(*keys, F.col(cluster).alias("c"), label.cast("int").alias("y"), *(scores[n].cast("double").alias(n) for n in names))
-    slim = slim.groupBy(*keys, "c", "y", *names).agg(F.count("*").alias("n")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
-
-    def run(key, table):
-        import numpy as np
-        import pyarrow as pa
-
-        block = key[-1].as_py()
-        c, index = np.unique(np.array(table.column("c").to_pylist()), return_inverse=True)
-        y, n = np.array(table.column("y").to_pylist()), np.array(table.column("n").to_pylist(), dtype=float)
-        order = {s: np.unique(np.array(table.column(s).to_pylist()), return_inverse=True)[1] for s in names}
-        out = []
-        for d in range(block, draws, blocks):
-            weight = np.bincount(np.random.default_rng([seed, d]).integers(0, len(c), len(c)), minlength=len(c))[index] * n
-            for s in names:
-                pos, neg = (np.bincount(order[s], weight * (y == v), order[s].max() + 1) for v in (1, 0))
-                total = pos.sum() * neg.sum()
-                if total:
-                    out.append({k: v.as_py() for k, v in zip(keys, key)} | {"score": s, "draw": d, "auroc": float((pos * (np.cumsum(neg) - neg / 2)).sum() / total)})
-        return pa.Table.from_pylist(out, schema=pa.schema([*((f.name, f.type) for f in table.schema if f.name in keys), ("score", pa.string()), ("draw", pa.int32()), ("auroc", pa.float64())]))
-
-    return slim.groupBy(*keys, "block").applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", score string, draw int, auroc double")
-
-
-def probe(rows: DataFrame, features: str, label: str, fold: str, folds: int, max_iter: int = 20):
-    """Held-out predictions of a standardised logistic regression, fitted once a fold on the other folds only."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    data = rows.withColumn("x", array_to_vector(doubles(F.col(features)))).withColumn("y", F.col(label).cast("double"))
-    out = None
-    for k in range(folds):
-        steps = Pipeline(stages=[PCA(k=16, inputCol="x", outputCol="p"), StandardScaler(inputCol="p", outputCol="z"), LogisticRegression(featuresCol="z", labelCol="y", maxIter=max_iter, probabilityCol="prob")])
-        scored = steps.fit(data.where(F.col(fold) != k)).transform(data.where(F.col(fold) == k))
-        part = scored.select(*rows.columns, "prediction", vector_to_array("prob").alias("probabilities"))
-        out = part if out is None else out.union(part)
-    return out
-
-
-def ranked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return rows.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(value)))
+def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram, weight): character n-grams of texts in one shared space, by count times smoothed inverse document
+    frequency, each text of length 1."""
+    grams = rows.select(key, F.explode(char_ngrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+    n = rows.agg(F.count("*").alias("_n"))
+    df = grams.groupBy("gram").agg(F.count("*").alias("_df"))
+    idf = df.join(n).select("gram", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
+    raw = grams.join(idf, "gram").select(key, "gram", (F.col("tf") * F.col("_idf")).alias("raw"))
+    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
+    return raw.join(norm, key).select(key, "gram", (F.col("raw") / F.col("_norm")).alias("weight"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modalith.functions.stats import r9
-from modalith.operators import metrics, vectors
+from modalith.operators import metrics, probes, resample, vectors
+from modalith.plans.metric_queries import DRAWS, SEED
 from modalith.plans.registry import query
+from modalith.sources.session import checkpoint
 from modalith.sources.views import ctes, frame
 from modalith.streaming import log
 
@@ -104,31 +106,109 @@ def char_ngrams(spark, sf):
     return g.groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query("auroc_bootstrap")
+@query("tfidf_weights", """WITH w AS (SELECT p_partkey, ' ' || unnest(string_split(lower(p_name), ' ')) || ' ' AS w FROM part), g AS (SELECT p_partkey, substr(w, CAST(i AS INT), CAST(n AS INT)) AS gram, count(*) AS tf FROM w, (SELECT unnest(range(3, 6)) AS n) s, (SELECT unnest(range(1, 40)) AS i) p WHERE i + n - 1 <= length(w) GROUP BY 1, 2),
+d AS (SELECT gram, ln((1 + (SELECT count(*) FROM part)) / (1 + count(*))) + 1 AS idf FROM g GROUP BY 1), r AS (SELECT p_partkey, gram, tf * idf AS raw FROM g JOIN d USING (gram)), q AS (SELECT p_partkey, sqrt(sum(raw * raw)) AS norm FROM r GROUP BY 1) SELECT p_partkey, count(*) AS grams, round(sum(raw / norm), 8) AS total, round(max(raw / norm), 8) AS top FROM r JOIN q USING (p_partkey) GROUP BY 1""")
+def tfidf_weights(spark, sf):
+    w = vectors.tfidf(frame(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name")
+    return w.groupBy("p_partkey").agg(F.count("*").alias("grams"), F.round(F.sum("weight"), 8).alias("total"), F.round(F.max("weight"), 8).alias("top"))
+
+
+def boot_sql(rows: str, keys: str) -> str:
+    """The bootstrap of AUROCs for the oracle, over a table (keys, c, y, score, s)."""
+    return f""", sl AS ({rows}), k AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY c) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS m FROM (SELECT DISTINCT {keys}, c FROM sl)), z AS (SELECT DISTINCT {keys}, m FROM k),
+w AS (SELECT {keys}, b, i, count(*) AS w FROM (SELECT {keys}, b.range AS b, ('0x' || substr(md5('{SEED}:' || b.range || ':' || unnest(range(m))), 1, 8))::BIGINT % m AS i FROM z, range({DRAWS}) b) GROUP BY ALL),
+t AS (SELECT {keys}, score, b, s, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM sl JOIN k USING ({keys}, c) JOIN w USING ({keys}, i) GROUP BY ALL),
+u AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {keys}, score, b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM t),
+v AS (SELECT {keys}, score, b, sum(pos * (under + neg / 2)) / (sum(pos) * sum(neg)) AS auroc FROM u GROUP BY ALL HAVING sum(pos) > 0 AND sum(neg) > 0)"""
+
+
+BOOT_SCORES = "SELECT lang, source AS c, quality AS y, 'length' AS score, CAST(n_chars AS DOUBLE) AS s FROM v_scored UNION ALL SELECT lang, source, quality, 'p', p FROM v_scored UNION ALL SELECT lang, source, quality, 'chars', length(source) FROM v_scored"
+
+
+@query("auroc_bootstrap", ctes("v_scored") + boot_sql(BOOT_SCORES, "lang") + " SELECT lang, score, count(*) AS draws, round(quantile_cont(auroc, 0.025), 9) AS lo, round(quantile_cont(auroc, 0.975), 9) AS hi FROM v GROUP BY 1, 2")
 def auroc_bootstrap(spark, sf):
-    rows = frame(spark, sf, "v_scored")
-    b = vectors.bootstrap_auroc(rows, ["lang"], "source", F.col("quality"), {"length": F.col("n_chars"), "p": F.col("p"), "chars": F.char_length("source")}, 1000, 20260518)
+    b = resample.bootstrap_auroc(frame(spark, sf, "v_scored"), ["lang"], "source", F.col("quality"), {"length": F.col("n_chars"), "p": F.col("p"), "chars": F.char_length("source")}, DRAWS, SEED)
     return b.groupBy("lang", "score").agg(F.count("*").alias("draws"), r9(F.percentile("auroc", F.lit(0.025))).alias("lo"), r9(F.percentile("auroc", F.lit(0.975))).alias("hi"))
 
 
+def semantic_scores(spark, sf):
+    """(slice, item, y, s_<threshold>_<weight>...) of items under all thirty settings, from one distance matrix an item."""
+    c = vectors.semantic_clusters(frame(spark, sf, "v_vectors"), vectors.THRESHOLDS)
+    values = [F.max(F.when(F.col("threshold") == t, vectors.semantic_score(w))).alias(setting(t, w)) for t in vectors.THRESHOLDS for w in vectors.WEIGHTS]
+    labels = frame(spark, sf, "v_vectors").groupBy("item").agg((F.avg("label") < 4.5).cast("int").alias("y"))
+    wide = c.groupBy("item").agg(*values).join(labels, "item")
+    slices = F.filter(F.array(F.lit("all"), F.when(F.col("item") % 2 == 0, "even")), lambda x: x.isNotNull())
+    return wide.withColumn("slice", F.explode(slices))
+
+
+def setting(threshold: float, weight: float) -> str:
+    return f"s_{round(threshold * 100)}_{round(weight * 100)}"
+
+
+@query("sensitivity_run")
+def sensitivity_run(spark, sf):
+    """Thirty settings by slice: AUROC, its interval over items, the difference from the reference setting under the same
+    draws, and whether the reference's own score comes out again."""
+    rows = checkpoint(semantic_scores(spark, sf))
+    names = {setting(t, w): (t, w) for t in vectors.THRESHOLDS for w in vectors.WEIGHTS}
+    ref = setting(vectors.DISTANCE_THRESHOLD, vectors.DISPERSION_WEIGHT)
+    long = rows.select("slice", "item", "y", F.explode(F.array(*(F.struct(F.lit(k).alias("score"), F.col(k).alias("s")) for k in names))).alias("x")).select("slice", "item", "y", "x.*")
+    point = metrics.auroc(long, ["slice", "score"], F.col("y"), F.col("s")).select("slice", "score", "auroc", "n")
+    b = checkpoint(resample.bootstrap_auroc(rows, ["slice"], "item", F.col("y"), {k: F.col(k) for k in names}, DRAWS, SEED))
+    base = lambda df, key: df.where(F.col("score") == ref).select(*key, F.col("auroc").alias("ref"))
+    deltas = b.join(base(b, ["slice", "b"]), ["slice", "b"])
+    ends = [r9(F.percentile(x, F.lit(q))).alias(k) for x, name in ((F.col("auroc"), "auroc"), (F.col("auroc") - F.col("ref"), "delta")) for q, k in ((0.025, f"{name}_lo"), (0.975, f"{name}_hi"))]
+    ci = deltas.groupBy("slice", "score").agg(F.count("*").alias("draws"), *ends)
+    own = vectors.semantic_clusters(frame(spark, sf, "v_vectors")).select("item", vectors.semantic_score().alias("own"))
+    same = rows.join(own, "item").groupBy("slice").agg((F.max(F.abs(F.col(ref) - F.col("own"))) < 1e-12).alias("reproduced"))
+    out = point.join(base(point, ["slice"]), "slice").join(ci, ["slice", "score"], "left").join(same, "slice")
+    grid = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, list(v))])[F.col("score")]
+    return out.select("slice", grid[0].alias("threshold"), grid[1].alias("weight"), "n", r9("auroc").alias("auroc"), r9(F.col("auroc") - F.col("ref")).alias("delta"), "draws", *(f"{x}_{e}" for x in ("auroc", "delta") for e in ("lo", "hi")), "reproduced")
+
+
+def probe_rows(spark, sf):
+    return frame(spark, sf, "v_vectors").withColumn("fold", vectors.group_fold(F.col("item"), probes.FOLDS))
+
+
 def held_out(spark, sf):
-    v = frame(spark, sf, "v_vectors").withColumns({"fold": vectors.group_fold(F.col("item"), 3), "target": (F.col("label") < 5).cast("int")})
-    return vectors.probe(v, "embedding", "target", "fold", 3)
+    return probes.held_out(probe_rows(spark, sf), F.col("label") < 5, "fold", "item", vector="embedding")
 
 
 @query("held_out_predictions")
 def held_out_predictions(spark, sf):
+    """Predictions of the logistic probe, each by a model that saw none of its group."""
     return held_out(spark, sf).select("vec_id", "item", "fold", "target", "prediction", F.transform("probabilities", lambda p: F.round(p, 6)).alias("probabilities"))
 
 
 @query("probe_summary")
 def probe_summary(spark, sf):
-    """Folds' AUROC, their mean and deviation, and a bootstrap over groups of the pooled held-out predictions."""
-    p = held_out(spark, sf).withColumn("score", F.element_at("probabilities", 2)).persist()
+    """Folds' AUROC, their mean and deviation, and an interval over groups: in each draw the folds' AUROCs, drawn within
+    the fold, count alike; a draw without all folds is undefined, and with under nine tenths defined there is none."""
+    p = checkpoint(held_out(spark, sf).select("item", "fold", "target", F.element_at("probabilities", 2).alias("score")))
     folds = metrics.auroc(p, ["fold"], F.col("target"), F.col("score"))
     mean = folds.agg(F.count("*").alias("folds"), F.avg("auroc").alias("mean_auroc"), F.stddev_samp("auroc").alias("sd_auroc"))
-    b = vectors.bootstrap_auroc(p.withColumn("all", F.lit("all")), ["all"], "item", F.col("target"), {"probability": F.col("score")}, 100, 20260518)
-    return mean.join(b.agg(F.count("*").alias("draws"), F.percentile("auroc", F.lit(0.025)).alias("lo"), F.percentile("auroc", F.lit(0.975)).alias("hi")))
+    b = resample.bootstrap_auroc(p, ["fold"], "item", F.col("target"), {"probability": F.col("score")}, DRAWS, SEED)
+    each = b.groupBy("b").agg(F.avg("auroc").alias("auroc"), F.count("*").alias("k")).where(F.col("k") == probes.FOLDS)
+    ok = probes.enough(F.count("*"), DRAWS)
+    ci = each.agg(F.count("*").alias("draws"), *(F.when(ok, F.percentile("auroc", F.lit(q))).alias(k) for q, k in ((0.025, "lo"), (0.975, "hi"))))
+    return mean.join(ci)
+
+
+@query("boosted_probe")
+def boosted_probe(spark, sf):
+    """The boosted probe with its budget chosen inside each training fold. Each tree is a chain of Spark jobs, so the
+    registered query chooses among few trees; the operator's default budget is 300."""
+    p = probes.held_out(probe_rows(spark, sf), F.col("label") < 5, "fold", "item", vector="embedding", kind="boosted", budgets=(2, 6))
+    m = metrics.auroc(checkpoint(p.select("fold", "target", "budget", F.element_at("probabilities", 2).alias("s"))), ["fold", "budget"], F.col("target"), F.col("s"))
+    return m.select("fold", "budget", "n", r9("auroc").alias("auroc"))
+
+
+@query("text_probe")
+def text_probe(spark, sf):
+    """Part names told by their types' first letters, from hashed character n-grams whose weights are fitted in the fold."""
+    rows = frame(spark, sf, "part").select("p_partkey", "p_name", "p_type").withColumn("fold", vectors.group_fold(F.col("p_name"), probes.FOLDS))
+    p = probes.held_out(rows, F.col("p_name").contains("widget"), "fold", "p_name", text="p_name", components=16)
+    return metrics.auroc(checkpoint(p.select("fold", "target", F.element_at("probabilities", 2).alias("s"))), ["fold"], F.col("target"), F.col("s")).select("fold", "n", r9("auroc").alias("auroc"))
 
 
 @query("pca_projection")
