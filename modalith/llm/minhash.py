@@ -258,7 +258,7 @@ def _block_links(rows: DataFrame, slots: int, least: float, threshold: float, bl
     unless links found before connect its classes already."""
     size = F.length("bag")
     weight = rows.groupBy("family").agg(F.sum(F.when(F.col("rest"), size)).alias("rest_bytes"), F.sum(size).alias("all_bytes"))
-    rows = rows.join(weight, "family")
+    rows = rows.join(F.broadcast(weight) if fits(weight, BROADCAST_PAIRS) else weight, "family")
     rest_blocks, all_blocks = (F.ceil(F.greatest(F.col(f"n_{k}") / block, F.col(f"{k}_bytes") / BLOCK_BYTES)).cast("int") for k in ("rest", "all"))
     place = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
     left = rows.where("rest").withColumn("i", place(rest_blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), all_blocks - 1))).withColumn("side", F.lit(0))

@@ -1,4 +1,9 @@
 import json
+import math
+import random
+import time
+from collections import Counter
+from html.parser import HTMLParser
 from itertools import pairwise
 
 import duckdb
@@ -29,25 +34,107 @@ def test_blocks():
         assert "\n".join(htmltext.blocks_of(page)[0]) == want, page
 
 
-def test_query_covers_the_articles(spark):
+class Article(HTMLParser):
+    """The blocks of a page's <article>, read by the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_query_is_the_articles_blocks(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas()
     got = op2_html(spark, SF).toPandas().set_index("page_id")
     assert len(got) == len(pages)
     for r in pages.itertuples():
-        body = r.html.split("<article>")[1].split("</article>")[0]
-        parts = [" ".join(__import__("re").sub(r"<[^>]*>", " ", x).split()) for x in __import__("re").split(r"</?(?:p|h1)\b[^>]*>", body)]
-        want = "\n".join(__import__("html").unescape(x) for x in parts if x)
-        assert " ".join(got.loc[r.page_id].text.split()) == " ".join(want.split())
-        assert got.loc[r.page_id].n_chars == len(got.loc[r.page_id].text)
+        parser = Article()
+        parser.feed(r.html)
+        parser.close()
+        want = "\n".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x)
+        assert (got.loc[r.page_id].text, got.loc[r.page_id].n_chars, got.loc[r.page_id].url) == (want, len(want), r.url)
+
+
+@pytest.mark.parametrize("unit", ["<a", "<a ", '<a "', "<div>", "<b>", "</p>", "<div></x>", "<p><b>", "<!-", "<![CDATA[", "&amp", "<script>", "<ul><li>", "<"])
+def test_malformed_pages_take_linear_time(unit):
+    def seconds(n):
+        began = time.process_time()
+        htmltext.blocks_of(unit * n + "x" + ">" * (n % 2))
+        return time.process_time() - began
+
+    few, many = min(seconds(4000) for _ in range(3)), min(seconds(40_000) for _ in range(2))
+    assert many < 0.1 or many < 40 * few
+
+
+def brute_runs(bodies, tokens, share):
+    """Texts of the distinct bodies of one host without windows of tokens that enough of them hold."""
+    streams = [[(i, w) for i, b in enumerate(blocks) for w in b.split(" ")] for blocks in bodies]
+    windows = [{tuple(w for _, w in s[k : k + tokens]) for k in range(len(s) - tokens + 1)} for s in streams]
+    seen = Counter(w for ws in windows for w in ws)
+    least = max(2, math.ceil(len(bodies) * share))
+    out = []
+    for s in streams:
+        gone = {k + j for k in range(len(s) - tokens + 1) if seen[tuple(w for _, w in s[k : k + tokens])] >= least for j in range(tokens)}
+        lines = {}
+        for k, (i, w) in enumerate(s):
+            if k not in gone:
+                lines.setdefault(i, []).append(w)
+        out.append("\n".join(" ".join(x) for x in lines.values()))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.6])
+def test_runs_of_a_host_against_counting_every_window(spark, share):
+    draw = random.Random(9)
+    common = [[f"c{k}{j}" for j in range(draw.randint(4, 50))] for k in range(6)]
+    bodies = []
+    for i in range(20):
+        blocks = []
+        for _ in range(draw.randint(1, 9)):
+            words = list(draw.choice(common)) if draw.random() < 0.6 else [f"u{i}{draw.randrange(9)}" for _ in range(draw.randint(1, 20))]
+            if draw.random() < 0.3:
+                words[draw.randrange(len(words))] = f"odd{i}"
+            blocks.append(" ".join(words))
+        if blocks not in bodies:
+            bodies.append(blocks)
+    rows = [(h, i, b) for h in ("x", "y") for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "host string, body long, blocks array<string>")
+    want = brute_runs(bodies, 8, share)
+    got = {(r.host, r.body): r.unique for r in htmltext.unique_runs(df, 8, share, 12).collect()}
+    assert got == {(h, i): want[i] for h in ("x", "y") for i in range(len(bodies))}
+    assert share > 0.2 or any(w != "\n".join(b) for w, b in zip(want, bodies))
 
 
 def test_boilerplate_of_a_host_goes_where_no_article_is_marked(spark):
     menu = "Home News Sport Weather Travel Money Arts Video Contact Imprint"
-    rows = [(i, f"http://a.example/{i}", f"<div>{menu}</div><div>page number {i} says {' '.join(f'w{i}x{k}' for k in range(12))}</div>") for i in range(5)]
-    rows += [(9, "http://b.example/1", f"<div>{menu}</div>"), (10, "http://a.example/3", rows[3][2])]
-    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(menu not in got[i] and got[i].startswith(f"{i} says") for i in range(5))
-    assert got[9] == menu and got[10] == got[3]
+    say = lambda i: f"<div>{menu}</div><div>page number {i} says {' '.join(f'w{i}x{k}' for k in range(12))}</div>"
+    rows = [(i, f"http://a.example/{i}", say(i)) for i in range(5)]
+    rows += [(9, "http://b.example/1", f"<div>{menu}</div>"), (10, "http://a.example/3?utm=1", rows[3][2]), (None, "http://a.example/3", rows[3][2]), (11, None, None), (11, None, say(3))]
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("text", T.StringType()), T.StructField("host", T.LongType())])
+    out = htmltext.extract(spark.createDataFrame([(*r, "clash", 1) for r in rows], schema))
+    got = {r.url or r.text[:4]: r.text for r in out.collect()}
+    assert len(got) == len(rows) - 1 and out.count() == len(rows)
+    for i in range(5):
+        assert menu not in got[f"http://a.example/{i}"] and f"w{i}x11" in got[f"http://a.example/{i}"]
+    # the same page under two addresses is one page, so it doesn't lose its own words
+    assert got["http://a.example/3?utm=1"] == got["http://a.example/3"] and got["http://b.example/1"] == menu
+    assert got[""] == "" and got["Home"] == f"{menu}\npage number 3 says " + " ".join(f"w3x{k}" for k in range(12))
+    assert htmltext.extract(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_rules_and_hosts(spark):
