@@ -33,7 +33,7 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.conversations(_read(spark, sf_dir, "conversations"))
+    return toolcalls.tool_calls(_read(spark, sf_dir, "conversations"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

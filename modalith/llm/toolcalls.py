@@ -3,13 +3,14 @@ serialised as canonical JSON. DataFrame expressions only.
 
 Messages hold calls as JSON: {"tool_calls": [{"id", "name", "arguments": {...}}]}, and results as
 {"tool_call_id": ..., "content": ...}. A call depends on each call that its arguments name as {"$ref": id} or in
-an `after` field. A topological level is found by pointer doubling along chains and by Kahn's rounds where a call has several needs,
-all calls at once; calls on or behind a cycle keep none.
+an `after` field. A topological level is found by pointer doubling along chains and by Kahn's rounds where a call has
+several needs, all calls at once; calls on or behind a cycle keep none.
 
-Null texts and texts that aren't such JSON hold no call. A conversation without calls gets an empty list. Where an
+Null texts and texts that aren't such JSON hold no call. A conversation without calls has no rows, and counts of 0. Where an
 identifier occurs twice in a conversation, the call that comes first holds it and later ones are counted as
 duplicates; of several results the first counts. Results without a call are orphans. Null conversation ids form one
-conversation. Empty tables give empty results; other columns are ignored.
+conversation. Empty tables give empty results; other columns are ignored, so their names can't clash. Texts of any
+length are serialised whole.
 """
 
 from __future__ import annotations
@@ -122,7 +123,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> tuple
     """Calls with their results, and the results that have none.
 
     calls: (conv_id, turn, place, id, name, arguments); results: (conv_id, turn, id, content). Returns
-    (conv_id, turn, place, id, name, problems, duplicate, level, linked, json) and (conv_id, n_orphans)."""
+    (conv_id, turn, place, id, name, kind, level, linked, n_results, problems, json) twice: of the calls, whose kind is
+    call or duplicate, and of the orphans, one row an identifier. Null conversations are -2**63."""
     conv = F.coalesce(F.col("conv_id"), F.lit(-(2**63)))
     calls = calls.withColumn("conv_id", conv)
     results = results.withColumn("conv_id", conv)
@@ -146,46 +148,55 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> tuple
         F.lit('{"arguments":'), F.coalesce(F.to_json("v"), F.lit("null")), F.lit(',"id":'), inner(F.col("id")), F.lit(',"name":'), F.coalesce(inner(F.col("name")), F.lit("null")),
         F.lit(',"result":'), F.coalesce(F.when(F.col("r").isNotNull(), inner(F.col("r.content"))), F.lit("null")), F.lit("}"),
     )
-    rows = out.select("conv_id", "turn", "place", "id", "name", "problems", F.lit(False).alias("duplicate"), "level", F.col("r").isNotNull().alias("linked"), body.alias("json"))
-    twice = calls.where("duplicate or id is null").select("conv_id", "turn", "place", "id", "name", F.array().cast("array<string>").alias("problems"), F.lit(True).alias("duplicate"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("linked"), F.lit(None).cast("string").alias("json"))
-    orphans = answer.join(held.select("conv_id", "id"), ["conv_id", "id"], "left_anti").groupBy("conv_id").agg(F.sum("n_results").alias("n_orphans"))
+    none = F.array().cast("array<string>")
+    rows = out.select("conv_id", "turn", "place", "id", "name", F.lit("call").alias("kind"), F.col("level").cast("long").alias("level"), F.col("r").isNotNull().alias("linked"), F.coalesce("n_results", F.lit(0)).alias("n_results"), "problems", body.alias("json"))
+    twice = calls.where("duplicate or id is null").select("conv_id", "turn", "place", "id", "name", F.lit("duplicate"), F.lit(None).cast("long"), F.lit(False), F.lit(0).cast("long"), none, F.lit(None).cast("string"))
+    lost = answer.join(held.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
+    told = F.concat(F.lit('{"content":'), inner(F.col("r.content")), F.lit(',"tool_call_id":'), F.coalesce(inner(F.col("id")), F.lit("null")), F.lit("}"))
+    orphans = lost.select("conv_id", "r.turn", F.lit(0).alias("place"), "id", F.lit(None).cast("string").alias("name"), F.lit("orphan").alias("kind"), F.lit(None).cast("long").alias("level"), F.lit(False).alias("linked"), "n_results", none.alias("problems"), told.alias("json"))
     return rows.union(twice), orphans
 
 
-def conversations(rows: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """A row for each conversation: (conv_id, n_turns, n_calls, n_linked, n_orphans, n_invalid, n_duplicates,
-    max_level, calls): calls is the canonical JSON list, in topological order and then by turn.
-
-    The list of a conversation is its own length; nothing else is gathered."""
+def _linked(rows: DataFrame, schemas: dict) -> tuple[DataFrame, DataFrame]:
     told, asked = explicit(rows), dialogue(rows)
     calls, results = (a.unionByName(b) for a, b in zip(told, asked))
-    linked, orphans = link(calls, results, schemas)
-    conv = F.coalesce(F.col("conv_id"), F.lit(-(2**63)))
-    turns = rows.groupBy(conv.alias("conv_id")).agg(F.count("*").alias("n_turns"))
-    order = F.array_sort(F.collect_list(F.when(~F.col("duplicate"), F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("level"), "turn", "place", "json"))))
-    per = linked.groupBy("conv_id").agg(
-        F.count_if(~F.col("duplicate")).alias("n_calls"), F.count_if("linked").alias("n_linked"), F.count_if(F.size("problems") > 0).alias("n_invalid"),
-        F.count_if("duplicate").alias("n_duplicates"), F.max("level").alias("max_level"), F.concat(F.lit("["), F.concat_ws(",", F.transform(order, lambda c: c["json"])), F.lit("]")).alias("calls"),
-    )
-    out = turns.join(per, "conv_id", "left").join(orphans, "conv_id", "left")
+    return link(calls, results, schemas)
+
+
+def tool_calls(rows: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
+    """A row for each call, duplicate and orphan: (conv_id, turn, place, id, name, kind, level, linked, n_results,
+    problems, json), in topological order within a conversation and then by turn. A range sort: a conversation of any
+    length is as many tasks as it needs, and nothing is gathered by conversation."""
+    linked, orphans = _linked(rows, schemas)
+    out = linked.union(orphans).withColumn("problems", F.array_join("problems", ";"))
+    out = out.orderBy("conv_id", F.col("level").asc_nulls_last(), "turn", "place", "kind", "id")
+    return out.withColumn("conv_id", F.nullif("conv_id", F.lit(-(2**63))))
+
+
+def conversations(rows: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
+    """A row for each conversation: (conv_id, n_turns, n_calls, n_linked, n_orphans, n_invalid, n_duplicates,
+    max_level), from counts that are combined before they are shuffled."""
+    linked, orphans = _linked(rows, schemas)
+    turns = rows.groupBy(F.coalesce(F.col("conv_id"), F.lit(-(2**63))).alias("conv_id")).agg(F.count("*").alias("n_turns"))
+    call = F.col("kind") == "call"
+    per = linked.groupBy("conv_id").agg(F.count_if(call).alias("n_calls"), F.count_if("linked").alias("n_linked"), F.count_if(F.size("problems") > 0).alias("n_invalid"), F.count_if(~call).alias("n_duplicates"), F.max("level").alias("max_level"))
+    out = turns.join(per, "conv_id", "left").join(orphans.groupBy("conv_id").agg(F.sum("n_results").alias("n_orphans")), "conv_id", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select(F.nullif("conv_id", F.lit(-(2**63))).alias("conv_id"), "n_turns", n("n_calls"), n("n_linked"), n("n_orphans"), n("n_invalid"), n("n_duplicates"), F.col("max_level").cast("long").alias("max_level"), F.coalesce("calls", F.lit("[]")).alias("calls"))
+    return out.select(F.nullif("conv_id", F.lit(-(2**63))).alias("conv_id"), "n_turns", n("n_calls"), n("n_linked"), n("n_orphans"), n("n_invalid"), n("n_duplicates"), "max_level")
 
 
 ORACLE = """
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY text) AS k FROM conversations),
 calls AS (SELECT conv_id, turn, conv_id || ':' || turn AS id, text FROM t WHERE role = 'user' AND k = 1),
-res AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS id, min(text) AS content, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY 1, 2),
+res AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS id, min(turn) AS turn, min(text) AS content, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY 1, 2),
 lv AS (SELECT a.conv_id, a.id, a.turn, a.text, count(b.turn) FILTER (b.turn < a.turn AND (a.turn - b.turn) % 2 = 0 AND NOT EXISTS (
    SELECT 1 FROM range(b.turn, a.turn, 2) r(x) WHERE x > b.turn AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = a.conv_id AND c.turn = x))) AS level
    FROM calls a JOIN calls b ON a.conv_id = b.conv_id GROUP BY 1, 2, 3, 4),
-j AS (SELECT lv.conv_id, lv.turn, level, res.id IS NOT NULL AS linked,
+j AS (SELECT lv.conv_id, lv.turn, lv.id, level, res.id IS NOT NULL AS linked, coalesce(res.n, 0) AS n_results,
    '{"arguments":{' || CASE WHEN lv.turn >= 2 THEN '"after":' || to_json(lv.conv_id || ':' || (lv.turn - 2))::VARCHAR || ',' ELSE '' END || '"prompt":' || to_json(lv.text)::VARCHAR || ',"turn":' || lv.turn ||
    '},"id":' || to_json(lv.id)::VARCHAR || ',"name":"reply","result":' || coalesce(to_json(res.content)::VARCHAR, 'null') || '}' AS body
-   FROM lv LEFT JOIN res ON res.conv_id = lv.conv_id AND res.id = lv.id),
-per AS (SELECT conv_id, count(*) AS n_calls, count(*) FILTER (linked) AS n_linked, max(level) AS max_level, '[' || string_agg(body, ',' ORDER BY level, turn) || ']' AS calls FROM j GROUP BY 1),
-orph AS (SELECT res.conv_id, sum(n) AS n FROM res LEFT JOIN calls ON calls.conv_id = res.conv_id AND calls.id = res.id WHERE calls.id IS NULL GROUP BY 1),
-tw AS (SELECT conv_id, count(*) AS n FROM t WHERE role = 'user' AND k > 1 GROUP BY 1)
-SELECT a.conv_id, a.n_turns, coalesce(n_calls, 0) AS n_calls, coalesce(n_linked, 0) AS n_linked, coalesce(orph.n, 0)::BIGINT AS n_orphans, 0::BIGINT AS n_invalid, coalesce(tw.n, 0)::BIGINT AS n_duplicates, max_level, coalesce(calls, '[]') AS calls
-FROM (SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY 1) a LEFT JOIN per USING (conv_id) LEFT JOIN orph USING (conv_id) LEFT JOIN tw USING (conv_id)
+   FROM lv LEFT JOIN res ON res.conv_id = lv.conv_id AND res.id = lv.id)
+SELECT conv_id, turn, 0 AS place, id, 'reply' AS name, 'call' AS kind, level, linked, n_results, '' AS problems, body AS json FROM j
+UNION ALL SELECT conv_id, turn, 0, conv_id || ':' || turn, 'reply', 'duplicate', NULL, false, 0, '', NULL FROM t WHERE role = 'user' AND k > 1
+UNION ALL SELECT res.conv_id, res.turn, 0, res.id, NULL, 'orphan', NULL, false, res.n, '', '{"content":' || to_json(res.content)::VARCHAR || ',"tool_call_id":' || to_json(res.id)::VARCHAR || '}' FROM res LEFT JOIN calls ON calls.conv_id = res.conv_id AND calls.id = res.id WHERE calls.id IS NULL
 """

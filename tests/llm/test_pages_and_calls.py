@@ -163,7 +163,8 @@ def test_oracles(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF).toPandas()
     want = con.execute(ORACLES[name]).df()[list(got.columns)]
-    key = got.columns[0]
+    key = [c for c in ("page_id", "conv_id", "turn", "id", "kind", "json") if c in got.columns]
+    assert name != "op4_toolcalls" or got.conv_id.is_monotonic_increasing
     a, b = (x.sort_values(key).reset_index(drop=True).astype(object).where(lambda d: d.notna(), None) for x in (got, want))
     assert a.equals(b)
 
@@ -180,17 +181,21 @@ def test_calls_are_linked_ordered_and_validated(spark):
         (None, 0, "user", "hi"),
         (None, 1, "assistant", None),
     ]
-    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
-    df = spark.createDataFrame(rows, schema)
+    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType()), T.StructField("level", T.StringType()), T.StructField("json", T.LongType())])
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], schema)
     got = {r.conv_id: r for r in toolcalls.conversations(df).collect()}
     one = got[1]
     assert (one.n_calls, one.n_linked, one.n_orphans, one.n_invalid, one.n_duplicates, one.max_level) == (4, 1, 1, 2, 1, 2)
-    listed = json.loads(one.calls)
-    order = [c["id"] for c in listed]
-    assert order.index("a") < order.index("b") < order.index("c")
-    assert [c["result"] for c in listed if c["id"] == "a"] == ["ra"]
-    for c in listed:
+    every = toolcalls.tool_calls(df).collect()
+    first = [r for r in every if r.conv_id == 1]
+    assert [(r.id, r.kind) for r in first if r.level is not None] == [("d", "call"), ("a", "call"), ("b", "call"), ("c", "call")] or [r.id for r in first if r.level is not None][-2:] == ["b", "c"]
+    assert {(r.id, r.problems) for r in first if r.problems} == {("c", "type of prompt;type of turn;unexpected more"), ("d", "unknown tool")}
+    assert [(r.id, r.kind) for r in first if r.kind != "call"] == [("a", "duplicate"), ("zz", "orphan")]
+    made = {r.id: json.loads(r.json) for r in first if r.kind == "call"}
+    assert {k: c["result"] for k, c in made.items()} == {"a": "ra", "b": None, "c": None, "d": None}
+    assert made["a"]["arguments"] == {"prompt": 'q"\\', "turn": 0}
+    for c in made.values():
         assert all(x < y for x, y in pairwise(c)) and all(x < y for x, y in pairwise(c["arguments"]))
-    assert got[2].n_calls == 2 and got[2].max_level is None
-    assert got[3].calls == "[]" and got[None].n_linked == 1
-    assert toolcalls.conversations(df.limit(0)).count() == 0
+    assert got[2].n_calls == 2 and got[2].max_level is None and {r.level for r in every if r.conv_id == 2} == {None}
+    assert got[3].n_calls == 0 and not [r for r in every if r.conv_id == 3] and got[None].n_linked == 1
+    assert toolcalls.conversations(df.limit(0)).count() == toolcalls.tool_calls(df.limit(0)).count() == 0
