@@ -2,7 +2,8 @@
 byte comparison inside equal buckets. DataFrame expressions only.
 
 Null texts count as empty; empty texts all share one fingerprint. Repeated ids keep all their rows. Texts of any
-length are hashed whole. Extra columns of the input are ignored, so their names can't clash.
+length are hashed whole. Empty tables give empty results. Extra columns of the input are ignored, so their names can't
+clash.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ is the source's cumulative token demand; inverting that gives the time at which
 many of its source's tokens is due, and a range sort by that time is the training order.
 
 Null texts and texts without words have size 0 and nothing is taken of them. Null sources form one source, the
-last. Repeated rows count as often as they occur. An empty table gives an empty result. Extra columns pass
-through `mix` untouched except those it adds.
+last. Repeated rows count as often as they occur; `take` tells rows with null or repeated ids apart by a number of
+their own. An empty table gives an empty result. `mix` ignores extra columns, and `take` passes them on. Texts of any
+length are counted whole.
 """
 
 from __future__ import annotations

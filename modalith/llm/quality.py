@@ -5,10 +5,11 @@ Each labeller votes good, bad or nothing on a text. Under one hidden class, vote
 estimates each labeller's vote rates within either class from the numbers of the vote patterns, of which there are
 at most 3**labellers whatever the corpus. The posterior of a pattern is the label of its documents. The scorer is a
 logistic regression over hashed character-class trigrams and hashed ratio buckets, fitted on a hash sample of about
-TRAIN_ROWS documents (the bound is that parameter) and applied to every whole text.
+TRAIN_ROWS documents (twice that parameter is the bound) and applied to every whole text.
 
 Null and empty texts have no words; all labellers abstain and they get the scorer's prior score, EMPTY_SCORE, and
-are rejected. Repeated rows are scored alike. Empty tables give empty results; with fewer than two vote patterns
+are rejected. Repeated rows are scored alike. Columns pass through, but for those named as the results; their names can
+be chosen. Texts of any length are read whole. Empty tables give empty results; with fewer than two vote patterns
 the posterior alone decides nothing and every document with words is kept.
 """
 
@@ -199,7 +200,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                     xs.append(features(t, found, n).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(xs, pa.binary())], names=["code", "x"])
 
-    sample = rows.where(F.col("h") <= below).mapInArrow(lean(featured), "code int, x binary").toLocalIterator()
+    # copies of a row share a hash and come together; the limit holds whatever there are
+    sample = rows.where(F.col("h") <= below).mapInArrow(lean(featured), "code int, x binary").limit(2 * train_rows).toLocalIterator()
     codes, xs = [], []
     for r in sample:
         codes.append(r.code)
@@ -210,10 +212,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     return fit(np.array(xs), y), posterior
 
 
-def score(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """The rows of docs with quality_score double and keep boolean; a column of either name is replaced."""
+def score(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, names: tuple[str, str] = ("quality_score", "keep")) -> DataFrame:
+    """The rows of docs with a score (double) and whether it is kept (boolean), under `names`; columns of docs that have
+    these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    rest = [c for c in docs.columns if c not in ("quality_score", "keep")]
+    rest = [c for c in docs.columns if c not in names]
     rows = docs.select(*rest)
 
     def run(batches):
@@ -233,14 +236,14 @@ def score(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "tex
                 else:
                     out.append(float(1 / (1 + np.exp(-np.clip(features(t, found, n) @ w[:-1] + w[-1], -30, 30)))))
             score = pa.array(out, pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, score, pa.array([s >= keep for s in out])], names=[*b.schema.names, "quality_score", "keep"])
+            yield pa.RecordBatch.from_arrays([*b.columns, score, pa.array([s >= keep for s in out])], names=[*b.schema.names, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(lean(run), f"{schema}, quality_score double, keep boolean")
+    return rows.mapInArrow(lean(run), f"{schema}, `{names[0]}` double, `{names[1]}` boolean")
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, keep: float = KEEP) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, keep: float = KEEP, names: tuple[str, str] = ("quality_score", "keep")) -> DataFrame:
     """Every row of docs with its score and whether it is kept."""
     small_batches(docs.sparkSession)
     weights, _ = train(docs, id_col, text_col, train_rows)
-    return score(docs, weights, id_col, text_col, keep)
+    return score(docs, weights, id_col, text_col, keep, names)

@@ -55,3 +55,30 @@ def test_odd_rows(spark):
     assert quality.classify(spark.createDataFrame([], schema)).count() == 0
     same = quality.classify(spark.createDataFrame([rows[2], rows[2]], schema)).collect()
     assert [r.keep for r in same] == [True, True]
+
+
+def test_query_is_the_plain_classifier(spark):
+    """All texts of the small table are the training sample, so the whole of it can be done by hand."""
+    from modalith.llm.queries import op5_quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").toPandas()
+    told = {d: quality.ratios(t or "") for d, t in zip(docs.doc_id, docs.text)}
+    codes = {d: quality.pattern(*told[d]) for d in told if told[d][0]}
+    counts = {}
+    for c in codes.values():
+        counts[c] = counts.get(c, 0) + 1
+    posterior, _, _ = quality.estimate(counts)
+    x = np.array([quality.features(t, told[d][1], told[d][0]) for d, t in zip(docs.doc_id, docs.text) if d in codes])
+    w = quality.fit(x, np.array([posterior[codes[d]] for d in docs.doc_id if d in codes]))
+    want = dict(zip([d for d in docs.doc_id if d in codes], 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))))
+    got = op5_quality(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert abs(r.quality_score - want.get(r.doc_id, 0.0)) < 1e-3
+        assert r.keep == (r.quality_score >= 0.5)
+
+
+def test_results_can_have_other_names(spark):
+    df = spark.createDataFrame([(1, "A line of words.", "mine")], "doc_id long, text string, keep string")
+    row = quality.classify(df, names=("s", "k")).first()
+    assert row.keep == "mine" and row.k is True
