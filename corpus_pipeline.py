@@ -17,7 +17,7 @@ from modalith.llm.runtime import materialize
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
-    return quality.classify(docs).where("keep").select(*docs.columns)
+    return quality.classify(docs, names=("__score", "__keep")).where("__keep").select(*docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that repeat; a document of which nothing is left stays, with an empty text."""
+    """Texts without the passages of about 50 words (suffix.PASSAGE bytes) or more that repeat; a document of which
+    nothing is left stays, with an empty text."""
     return suffix.strip_repeats(docs)
 
 
