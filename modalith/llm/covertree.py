@@ -2,10 +2,12 @@
 
 Unit vectors within a cosine of each other lie within a Euclidean distance, so a pair of tree nodes whose centers are
 further apart than that distance plus both covering radii holds no link, and is pruned with all below it. Nodes are
-nested: each level's centers cover their members within half the radius of the level above.
+nested: each level's centers cover their members within half the radius of the level above. A tree grows only where the
+traversal looks into it, and where a sample says that the next level would rule out little, all pairs below are
+compared at once.
 
 The top level is distributed. Centers drawn from the table by hash (at most PIVOTS, a bounded sample) take the
-vectors nearest to them; a center with many vectors is dealt into blocks of at most BLOCK. Block summaries (center,
+vectors nearest to them; a center with many vectors is dealt into blocks of bounded size. Block summaries (center,
 radius) meet in pages by an equi-join, and only pairs of blocks within reach are traversed, each pair in one task
 of bounded size. A task reports, for each vector, how many it links to and a spanning star of what it found; no
 pair list leaves it. Equal vectors are one weighted vector from the start, so copies cost nothing.
@@ -25,9 +27,11 @@ from modalith.llm.runtime import connected_components, lean, materialize, small_
 
 THRESHOLD = 0.9
 PIVOTS = 1024
-BLOCK = 4096
+#: A block holds vectors of about so many bytes, and at least and at most so many. Each block goes to every block within
+#: reach, so larger ones are shipped less often.
+BLOCK_BYTES, FEWEST, MOST = 8 << 20, 1024, 16384
 PAGE = 1024
-LEAF = 16
+LEAF = 64
 #: Centers that are tried at once when a level is built.
 BATCH = 256
 #: Added to bounds, so that rounding never prunes a link; links themselves are decided by the cosine alone.
@@ -35,31 +39,40 @@ SLACK = 1e-6
 
 
 class Node:
-    """A node of a cover tree over rows of a matrix: center row, covering radius, members, children."""
+    """A node of a cover tree over rows of a matrix: center row, covering radius, members; children when it has grown."""
 
     __slots__ = ("center", "radius", "members", "children")
 
-    def __init__(self, center, radius, members, children) -> None:
-        self.center, self.radius, self.members, self.children = center, radius, members, children
+    def __init__(self, x, members, center: int) -> None:
+        import numpy as np
+
+        far = np.sqrt(np.maximum(0.0, 2 - 2 * (x[members] @ x[center])))
+        self.center, self.members, self.radius, self.children = center, members, float(far.max()) if len(members) else 0.0, None
+
+    def is_leaf(self) -> bool:
+        return len(self.members) <= LEAF or self.radius < 1e-3
 
 
-def build(x, members=None, center=None) -> Node:
-    """Cover tree over the unit rows x[members]; children are a net at half the node's radius."""
+def build(x) -> Node:
+    """The root of a cover tree over the unit rows of x; it grows where it is looked into."""
     import numpy as np
 
-    members = np.arange(len(x)) if members is None else members
-    center = int(members[0]) if center is None else center
-    far = np.sqrt(np.maximum(0.0, 2 - 2 * (x[members] @ x[center])))
-    radius = float(far.max()) if len(members) else 0.0
-    if len(members) <= LEAF or radius < 1e-3:
-        return Node(center, radius, members, None)
-    reach = radius / 2
+    return Node(x, np.arange(len(x)), 0)
+
+
+def grown(x, node: Node) -> list[Node]:
+    """The children of a node: a net at half its radius, each member with the first center that covers it."""
+    import numpy as np
+
+    if node.children is not None:
+        return node.children
+    reach = node.radius / 2
     bound = 1 - reach * reach / 2
-    left, children = members, []
-    first = center
+    left, children = node.members, []
+    first: int | None = node.center
     while len(left):
         # a batch of centers: one matrix product, then the greedy choice among them
-        batch = left[: 1 if first is not None else BATCH]
+        batch = left[:BATCH]
         if first is not None:
             batch, first = np.array([first]), None
         near = x[left] @ x[batch].T >= bound
@@ -79,7 +92,40 @@ def build(x, members=None, center=None) -> Node:
         cuts = np.searchsorted(whose[order], np.arange(len(chosen) + 1))
         children += [(int(batch[c]), inside[order[cuts[i] : cuts[i + 1]]]) for i, c in enumerate(chosen)]
         left = left[~taken]
-    return Node(center, radius, members, [build(x, m, c) for c, m in children])
+    node.children = [Node(x, m, c) for c, m in children]
+    return node.children
+
+
+def prunes(x, y, a: Node, b: Node, reach: float) -> bool:
+    """Whether the bounds one level down would rule out a good part of the pairs below two nodes, by a sample of them.
+    Vectors that are spread evenly are far from each other alike, and then looking into the tree costs more than
+    comparing all; what is found is the same either way."""
+    import numpy as np
+
+    p, q = (n.members[:: max(1, len(n.members) // 32)] for n in (a, b))
+    gap = np.sqrt(np.maximum(0.0, 2 - 2 * (x[p] @ y[q].T)))
+    return float((gap > a.radius / 2 + b.radius / 2 + reach).mean()) >= 0.25
+
+
+def direct(x, y, a, b, threshold: float, meet, same: bool) -> None:
+    """All pairs of the rows a of x and b of y, by products in single precision and the close ones again in double."""
+    import numpy as np
+
+    y32 = y[b].astype(np.float32).T
+    low = np.float32(threshold - 1e-5 - 1.2e-7 * x.shape[1])  # below what single precision can make of the threshold
+    for at in range(0, len(a), 512):
+        p = a[at : at + 512]
+        i, j = np.nonzero(x[p].astype(np.float32) @ y32 >= low)
+        if same:
+            i, j = i[p[i] < b[j]], j[p[i] < b[j]]
+        hit = np.einsum("ij,ij->i", x[p[i]], y[b[j]]) >= threshold
+        i, j = i[hit], j[hit]
+        if len(i):
+            rows, r = np.unique(i, return_inverse=True)
+            cols, c = np.unique(j, return_inverse=True)
+            mask = np.zeros((len(rows), len(cols)), dtype=bool)
+            mask[r, c] = True
+            meet(p[rows], b[cols], mask)
 
 
 def _components(mask):
@@ -101,46 +147,33 @@ def _components(mask):
 
 
 def traverse(x, y, a: Node, b: Node, threshold: float, meet, same: bool = False) -> None:
-    """Walk pairs of nodes of trees over x and y; meet(rows of x, rows of y, mask) gets each leaf pair's links.
+    """Walk pairs of nodes of trees over x and y; meet(rows of x, rows of y, mask) gets the links of what isn't pruned.
 
     same: both are one tree; then each unordered pair is met once, and the diagonal is left out."""
     import numpy as np
 
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold))
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     stack = [(a, b)]
     while stack:
         a, b = stack.pop()
-        if a.children is None and b.children is None:
-            mask = x[a.members] @ y[b.members].T >= threshold
-            if same and a is b:
-                mask = np.triu(mask, 1)
-            if mask.any():
-                meet(a.members, b.members, mask)
+        if a.is_leaf() and b.is_leaf() or not prunes(x, y, a, b, reach):
+            direct(x, y, a.members, b.members, threshold, meet, same and a is b)
             continue
-        # children of the wider node, or of both
-        left = a.children if a.children is not None and (a.radius >= b.radius / 2 or b.children is None) else [a]
-        right = b.children if b.children is not None and (b.radius >= a.radius / 2 or a.children is None) else [b]
         if same and a is b:
-            right = left = a.children
+            left = right = grown(x, a)
+        else:
+            # children of the wider node, or of both
+            left = grown(x, a) if not a.is_leaf() and (a.radius >= b.radius / 2 or b.is_leaf()) else [a]
+            right = grown(y, b) if not b.is_leaf() and (b.radius >= a.radius / 2 or a.is_leaf()) else [b]
         cx, cy = x[[n.center for n in left]], y[[n.center for n in right]]
         rx, ry = np.array([n.radius for n in left]), np.array([n.radius for n in right])
         for at in range(0, len(left), 1024):
             gap = np.sqrt(np.maximum(0.0, 2 - 2 * (cx[at : at + 1024] @ cy.T)))
-            i, j = np.nonzero(gap <= rx[at : at + 1024, None] + ry[None, :] + reach + SLACK)
+            i, j = np.nonzero(gap <= rx[at : at + 1024, None] + ry[None, :] + reach)
             i = i + at
             if same and a is b:
                 i, j = i[i <= j], j[i <= j]
-            lone = (rx[i] == 0) & (ry[j] == 0) & np.array([left[k].children is None and len(left[k].members) == 1 for k in range(len(left))])[i] & np.array([right[k].children is None and len(right[k].members) == 1 for k in range(len(right))])[j]
-            if lone.any():
-                # pairs of single vectors, all at once
-                li, lj = i[lone], j[lone]
-                if same and a is b:
-                    li, lj = li[li != lj], lj[li != lj]
-                p = np.array([left[k].center for k in li], dtype=np.int64)
-                q = np.array([right[k].center for k in lj], dtype=np.int64)
-                for k in np.flatnonzero(np.einsum("ij,ij->i", x[p], y[q]) >= threshold) if len(p) else ():
-                    meet(p[k : k + 1], q[k : k + 1], np.ones((1, 1), dtype=bool))
-            stack.extend((left[k], right[m]) for k, m in zip(i[~lone].tolist(), j[~lone].tolist()))
+            stack.extend((left[k], right[m]) for k, m in zip(i.tolist(), j.tolist()))
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -156,7 +189,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select("id", "v", F.col("v").isNotNull().alias("ok"))
 
 
-def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int | None = None, pivots: int = PIVOTS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     small_batches(vectors.sparkSession)
     rows = materialize(unit_vectors(vectors, id_col, vector_col))
@@ -169,6 +202,8 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     if total == 0:
         return counts.select(F.col("id").alias(id_col), "n_links", "component_id", F.lit(True).alias("kept"))
     shape = F.size("v")
+    if block is None:
+        block = max(FEWEST, min(MOST, BLOCK_BYTES // (8 * one.agg(F.max(shape).alias("d")).first().d)))
     n_pivots = max(1, min(pivots, total // block))
     # the sample of centers: the least hashes, a number with a bound
     chosen = [r.v for r in one.orderBy("h", "rep").limit(n_pivots).select("v").collect()]

@@ -54,3 +54,29 @@ def test_odd_rows(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got) == [(0, 0, None), (1, 0, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4)]
     assert covertree.links(spark.createDataFrame([], schema)).count() == 0
     assert covertree.links(spark.createDataFrame([(1, None, None, None)], schema)).count() == 1
+
+
+def test_nodes_out_of_reach_are_never_compared(monkeypatch):
+    rng = np.random.default_rng(1)
+    centers = np.eye(6)[:, :6]
+    x = np.concatenate([c + rng.normal(size=(300, 6)) * 0.05 for c in centers])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x[rng.permutation(len(x))]
+    compared, plain = [], covertree.direct
+
+    def counted(x, y, a, b, *rest):
+        compared.append(len(a) * len(b))
+        plain(x, y, a, b, *rest)
+
+    monkeypatch.setattr(covertree, "direct", counted)
+    found = np.zeros((len(x), len(x)), dtype=bool)
+
+    def meet(p, q, mask):
+        assert not (found[np.ix_(p, q)] & mask).any()
+        found[np.ix_(p, q)] |= mask
+
+    tree = covertree.build(x)
+    covertree.traverse(x, x, tree, tree, 0.98, meet, True)
+    want = np.triu(x @ x.T >= 0.98, 1)
+    assert ((found | found.T) == (want | want.T)).all()
+    assert sum(compared) < len(x) ** 2 / 4
