@@ -97,14 +97,25 @@ def grown(x, node: Node) -> list[Node]:
 
 
 def prunes(x, y, a: Node, b: Node, reach: float) -> bool:
-    """Whether the bounds one level down would rule out a good part of the pairs below two nodes, by a sample of them.
-    Vectors that are spread evenly are far from each other alike, and then looking into the tree costs more than
-    comparing all; what is found is the same either way."""
+    """Whether looking into two nodes can rule out pairs for less than comparing them all, by a sample of either: their
+    members must gather round centers at a radius at which the usual pair is out of reach. Vectors that are spread
+    evenly don't; each would be a center of its own. What is found is the same either way."""
     import numpy as np
 
-    p, q = (n.members[:: max(1, len(n.members) // 32)] for n in (a, b))
-    gap = np.sqrt(np.maximum(0.0, 2 - 2 * (x[p] @ y[q].T)))
-    return float((gap > a.radius / 2 + b.radius / 2 + reach).mean()) >= 0.25
+    p, q = (n.members[:: max(1, len(n.members) // 64)][:64] for n in (a, b))
+    radius = (float(np.median(np.sqrt(np.maximum(0.0, 2 - 2 * (x[p] @ y[q].T))))) - reach) / 2
+    if radius <= 0:
+        return False
+    bound = 1 - radius * radius / 2
+    for z, m in ((x, p), (y, q)):
+        near, free, centers = z[m] @ z[m].T >= bound, np.ones(len(m), dtype=bool), 0
+        for k in range(len(m)):
+            if free[k]:
+                centers += 1
+                free &= ~near[k]
+        if 2 * centers > len(m):
+            return False
+    return True
 
 
 def direct(x, y, a, b, threshold: float, meet, same: bool) -> None:
@@ -177,16 +188,30 @@ def traverse(x, y, a: Node, b: Node, threshold: float, meet, same: bool = False)
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v array<double>, ok): v of length 1; ok is false for rows that can't link. v is null there."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)) & F.col("id").isNotNull())
-    # scaled by the largest component first, so that squares neither overflow nor vanish
-    big = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
-    rows = rows.withColumn("big", F.when(F.col("fine"), big)).withColumn("v", F.when(F.col("big") > 0, F.transform("v", lambda x: x / F.col("big"))))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("norm", norm).withColumn("v", F.transform("v", lambda x: x / F.col("norm")))
-    return rows.select("id", "v", F.col("v").isNotNull().alias("ok"))
+    """(id, v binary, d): the doubles of v at length 1, and their number. v is null for rows that can't link."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            column = b.column(1)
+            values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            there = column.is_valid().to_numpy(zero_copy_only=False) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            out: list[bytes | None] = []
+            for k in range(b.num_rows):
+                v = values[offsets[k] : offsets[k + 1]]
+                big = np.abs(v).max() if there[k] and len(v) and np.isfinite(v).all() else 0.0  # a null component is NaN here
+                if big > 0:
+                    v = v / big  # first, so that squares neither overflow nor vanish
+                    out.append((v / math.sqrt(float(v @ v)) + 0.0).tobytes())
+                else:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array([len(v) // 8 if v else 0 for v in out], pa.int32())], names=["id", "v", "d"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(lean(run), f"id {kind}, v binary, d int")
 
 
 def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int | None = None, pivots: int = PIVOTS) -> DataFrame:
@@ -194,25 +219,24 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     small_batches(vectors.sparkSession)
     rows = materialize(unit_vectors(vectors, id_col, vector_col))
     # equal vectors become one, with their number and least id
-    one = materialize(rows.where("ok and id is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    one = materialize(rows.where("v is not null").groupBy("v", "d").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("n")))
     shared_ids = not one.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
     one = materialize((_keyed(one) if shared_ids else one).withColumn("h", F.xxhash64("rep")))
     total = one.count()
     counts = rows.select("id").withColumn("component_id", F.col("id")).withColumn("n_links", F.lit(0).cast("long"))
     if total == 0:
         return counts.select(F.col("id").alias(id_col), "n_links", "component_id", F.lit(True).alias("kept"))
-    shape = F.size("v")
     if block is None:
-        block = max(FEWEST, min(MOST, BLOCK_BYTES // (8 * one.agg(F.max(shape).alias("d")).first().d)))
+        block = max(FEWEST, min(MOST, BLOCK_BYTES // (8 * one.agg(F.max("d").alias("d")).first().d)))
     n_pivots = max(1, min(pivots, total // block))
     # the sample of centers: the least hashes, a number with a bound
-    chosen = [r.v for r in one.orderBy("h", "rep").limit(n_pivots).select("v").collect()]
+    chosen = [bytes(r.v) for r in one.orderBy("h", "rep").limit(n_pivots).select("v").collect()]
 
     def nearest(batches):
         import numpy as np
         import pyarrow as pa
 
-        sample = {len(c): np.array([d for d in chosen if len(d) == len(c)]) for c in chosen}
+        sample = {len(c): np.array([np.frombuffer(d) for d in chosen if len(d) == len(c)]) for c in chosen}
         for b in batches:
             cells = []
             vs = b.column(1).to_pylist()
@@ -220,13 +244,13 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 part = vs[at : at + 4096]
                 width = {len(v) for v in part}
                 if len(width) == 1 and (w := width.pop()) in sample:
-                    cells += (np.array(part) @ sample[w].T).argmax(axis=1).tolist()
+                    cells += (np.frombuffer(b"".join(part)).reshape(len(part), -1) @ sample[w].T).argmax(axis=1).tolist()
                 else:
-                    cells += [int((np.array([v]) @ sample[len(v)].T).argmax()) if len(v) in sample else -1 for v in part]
+                    cells += [int((np.frombuffer(v) @ sample[len(v)].T).argmax()) if len(v) in sample else -1 for v in part]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.int32())], names=["rep", "cell"])
 
     cells = one.select("rep", "v").mapInArrow(lean(nearest), "rep long, cell int")
-    placed = materialize(one.join(cells, "rep").withColumn("d", shape))
+    placed = materialize(one.join(cells, "rep"))
     sizes = placed.groupBy("cell", "d").agg(F.ceil(F.count("*") / (block * 0.9)).cast("int").alias("blocks"))
     placed = placed.join(sizes, ["cell", "d"]).withColumn("block", F.concat_ws("-", "d", "cell", F.pmod("h", F.col("blocks").cast("long"))))
 
@@ -234,7 +258,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         import numpy as np
         import pyarrow as pa
 
-        x = np.array(table.column("v").to_pylist(), dtype=np.float64)
+        x = np.frombuffer(b"".join(table.column("v").to_pylist())).reshape(table.num_rows, -1)
         mean = x.mean(axis=0)
         k = int((x @ mean).argmax())
         far = float(np.sqrt(np.maximum(0.0, 2 - 2 * (x @ x[k]))).max())
@@ -326,4 +350,4 @@ def _keyed(one: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     place = F.row_number().over(Window.partitionBy("rep").orderBy("v"))
-    return one.withColumn("k", place).select(F.when(F.col("k") > 1, -F.abs(F.xxhash64("rep", "v")) - 1).otherwise(F.col("rep")).alias("rep"), "v", "n")
+    return one.withColumn("k", place).select(F.when(F.col("k") > 1, -F.abs(F.xxhash64("rep", "v")) - 1).otherwise(F.col("rep")).alias("rep"), "v", "d", "n")
