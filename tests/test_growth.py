@@ -28,3 +28,15 @@ def same(spark, repeated, name):
 
 def test_proposals_of_repeated_seed_ids(spark, repeated):
     same(spark, repeated, "proposal_join")
+
+
+def test_turns_of_repeated_seed_ids(spark, repeated):
+    """The SQL leaves open how items of one seed and turn are placed; which items a turn has, it doesn't."""
+    from modalith.plans.observation_queries import SEPARATED, separated
+
+    path, con = repeated
+    got = separated(spark, path).groupBy("seed_id", "item_id", "turn").count().toPandas()
+    want = con.execute(SEPARATED + " SELECT seed_id, item_id, (m + s) % 4 AS turn, count(*) AS count FROM b GROUP BY ALL").df()
+    assert cells(got) == cells(want)
+    batches = con.execute(SEPARATED + " SELECT batch, count(*) AS n FROM x GROUP BY 1").df()
+    assert cells(separated(spark, path).groupBy("batch").count().toPandas()) == cells(batches)
