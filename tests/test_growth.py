@@ -40,3 +40,7 @@ def test_turns_of_repeated_seed_ids(spark, repeated):
     assert cells(got) == cells(want)
     batches = con.execute(SEPARATED + " SELECT batch, count(*) AS n FROM x GROUP BY 1").df()
     assert cells(separated(spark, path).groupBy("batch").count().toPandas()) == cells(batches)
+
+
+def test_sources_of_repeated_item_ids(spark, repeated):
+    same(spark, repeated, "source_resolve")
