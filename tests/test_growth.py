@@ -48,3 +48,7 @@ def test_sources_of_repeated_item_ids(spark, repeated):
 
 def test_narrowed_sources_of_repeated_item_ids(spark, repeated):
     same(spark, repeated, "source_resolve_narrowed")
+
+
+def test_attempts_of_repeated_item_ids_count_once(spark, repeated):
+    same(spark, repeated, "stale_semi")
