@@ -52,3 +52,7 @@ def test_narrowed_sources_of_repeated_item_ids(spark, repeated):
 
 def test_attempts_of_repeated_item_ids_count_once(spark, repeated):
     same(spark, repeated, "stale_semi")
+
+
+def test_pivot_of_repeated_seed_ids(spark, repeated):
+    same(spark, repeated, "statement_pivot")
