@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalith.functions.stats import draw
@@ -132,11 +132,12 @@ def char_ngrams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
 
 def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, gram, weight): character n-grams of texts in one shared space, by count times smoothed inverse document
-    frequency, each text of length 1."""
+    frequency, each text of length 1. Lengths come from a window over the text's own grams: a table of them, a row a text,
+    would be joined, and the driver would gather it where it looks small enough for a broadcast."""
     grams = rows.select(key, F.explode(char_ngrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
     n = rows.agg(F.count("*").alias("_n"))
     df = grams.groupBy("gram").agg(F.count("*").alias("_df"))
-    idf = df.join(n).select("gram", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
+    idf = df.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
     raw = grams.join(idf, "gram").select(key, "gram", (F.col("tf") * F.col("_idf")).alias("raw"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
-    return raw.join(norm, key).select(key, "gram", (F.col("raw") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "gram", (F.col("raw") / norm).alias("weight"))
