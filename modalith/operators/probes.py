@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modalith.operators.vectors import char_ngrams, doubles, group_fold
+from modalith.sources.session import checkpoint
 
 #: Fixed values of the probes.
 COMPONENTS, ITERATIONS, BUDGET, FOLDS = 128, 1000, 300, 3
@@ -26,12 +27,15 @@ def balanced(rows: DataFrame, label: str, weight: str = "w") -> DataFrame:
 
 
 def features(rows: DataFrame, vector: str | None, text: str | None) -> tuple[DataFrame, list, int]:
-    """rows with raw features, the stages that are fitted on a fold's training rows, and the width."""
+    """rows with raw features, the stages that are fitted on a fold's training rows, and the width. A text's hashed
+    n-grams are dealt over all tasks, as texts are few bytes in one split, and kept: each fold reads them many times."""
     from pyspark.ml.feature import IDF, HashingTF
     from pyspark.ml.functions import array_to_vector
 
     if text:
-        return rows.withColumn("_grams", char_ngrams(F.col(text))), [HashingTF(numFeatures=HASHED, inputCol="_grams", outputCol="_tf"), IDF(inputCol="_tf", outputCol="_x")], HASHED
+        dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        hashed = HashingTF(numFeatures=HASHED, inputCol="_grams", outputCol="_tf").transform(dealt.withColumn("_grams", char_ngrams(F.col(text))))
+        return checkpoint(hashed.drop("_grams")), [IDF(inputCol="_tf", outputCol="_x")], HASHED
     width = rows.select(F.max(F.size(vector))).first()[0] or 0
     return rows.withColumn("_x", array_to_vector(doubles(F.col(vector)))), [], width
 
