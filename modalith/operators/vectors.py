@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalith.functions.stats import draw
+from modalith.sources.session import checkpoint
 
 #: Fixed values of the semantic score.
 DISTANCE_THRESHOLD, DISPERSION_WEIGHT = 0.35, 0.2
@@ -130,14 +131,21 @@ def char_ngrams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     return F.concat(*map(cut, sizes))
 
 
+#: Up to so many distinct n-grams are broadcast.
+GRAMS = 200_000
+
+
 def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, gram, weight): character n-grams of texts in one shared space, by count times smoothed inverse document
-    frequency, each text of length 1. Lengths come from a window over the text's own grams: a table of them, a row a text,
-    would be joined, and the driver would gather it where it looks small enough for a broadcast."""
-    grams = rows.select(key, F.explode(char_ngrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+    frequency, each text of length 1. Texts are dealt by their key before they are cut, so a text's grams are counted, and
+    its length taken from a window, where they are. Few n-grams are broadcast with their frequency; more are joined by
+    merging. Spark, which takes grams for no larger than texts, would broadcast the texts' grams."""
+    dealt = rows.select(key, text).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    grams = dealt.select(key, F.explode(char_ngrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
     n = rows.agg(F.count("*").alias("_n"))
     df = grams.groupBy("gram").agg(F.count("*").alias("_df"))
-    idf = df.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
+    idf = checkpoint(df.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf")))
+    idf = F.broadcast(idf) if idf.count() <= GRAMS else idf.hint("merge")
     raw = grams.join(idf, "gram").select(key, "gram", (F.col("tf") * F.col("_idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "gram", (F.col("raw") / norm).alias("weight"))
